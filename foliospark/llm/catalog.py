@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from foliospark.llm import quality
+from foliospark.llm import quality, secrets, simhash
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLES = {

@@ -23,7 +23,7 @@ FENCE = 3
 #: Groups with fewer documents use their language's merged sketch, and languages with fewer the whole corpus's.
 MIN_GROUP = 200
 #: Metric: (least distance of a fence from its quartile, whether there is a lower fence too). Rates are per 10,000.
-METRICS = {"word_length": (100, True), "symbol_rate": (500, False), "upper_rate": (3000, False), "dup_line_rate": (3000, False), "repeat_rate": (2000, False)}
+METRICS = {"word_length": (200, True), "symbol_rate": (500, False), "upper_rate": (3000, False), "dup_line_rate": (6000, False), "repeat_rate": (3000, False)}
 SUB_BITS = 5
 
 
