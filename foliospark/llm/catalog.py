@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from foliospark.llm import quality, secrets, simhash
+from foliospark.llm import mixing, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES = {
     "op4_quality_rules": quality.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
