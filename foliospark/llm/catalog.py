@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from foliospark.llm import mixing, packing, quality, secrets, simhash
+from foliospark.llm import mixing, packing, quality, secrets, simhash, tokencount, topk
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_token_counts": tokencount.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_topk": topk.op7_topk,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES = {
     "op4_quality_rules": quality.ORACLE,
+    "op7_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
