@@ -43,20 +43,42 @@ def unescape(text: Column) -> Column:
 
 
 def _rooted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(ck, node, path_score) of every node below a root, and the pointer tables: (ck, node, up), 2 ** k steps up in the k-th."""
+    """(ck, node, path_score, depth) of every node below a root, and the pointer tables: (ck, node, up), 2 ** k steps up in the k-th.
+
+    A round joins only the nodes that haven't reached their root yet, so shallow trees cost no more for deep ones beside.
+    """
     ids = nodes.select("ck", "node", "parent", "score")
     known = ids.select(F.col("ck").alias("k_"), F.col("node").alias("n_"))
     there = F.expr("ck = k_ AND parent = n_ AND parent <> node")
-    now = materialize(ids.join(known, there, "left").select("ck", "node", F.col("n_").alias("up"), F.col("score").alias("total")), "up")
+    now = materialize(ids.join(known, there, "left").select("ck", "node", F.col("n_").alias("up"), F.col("score").alias("total"), F.lit(1).alias("depth")), "up")
     most = nodes.groupBy("ck").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    jumps = []
+    done, jumps = now.filter("up IS NULL"), []
+    pending = now.filter("up IS NOT NULL")
     for _ in range(math.ceil(math.log2(most)) + 1):
-        if now.filter("up IS NOT NULL").isEmpty():
+        if pending.isEmpty():
             break
-        jumps.append(now.filter("up IS NOT NULL").select("ck", "node", "up"))
-        above = now.select(F.col("ck").alias("k_"), F.col("node").alias("n_"), F.col("up").alias("further"), F.col("total").alias("more"))
-        now = materialize(now.join(above, F.expr("ck = k_ AND up = n_"), "left").select("ck", "node", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "up")
-    return now.filter("up IS NULL").select("ck", "node", F.col("total").alias("path_score")), jumps
+        jumps.append(pending.select("ck", "node", "up"))
+        above = done.unionByName(pending).select(F.col("ck").alias("k_"), F.col("node").alias("n_"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        now = pending.join(above, F.expr("ck = k_ AND up = n_")).select("ck", "node", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        now = materialize(now, "up")
+        done, pending = done.unionByName(now.filter("up IS NULL")), now.filter("up IS NOT NULL")
+    return done.select("ck", "node", F.col("total").alias("path_score"), "depth"), jumps
+
+
+def _members(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(ck, leaf, node, dist): the leaves' ancestors and themselves, by distance.
+
+    The k-th round takes each member found so far 2 ** k steps up; a leaf leaves the rounds when its path is complete.
+    """
+    now = chosen.select("ck", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"), "depth")
+    done = now.filter("depth <= 1")
+    for k, jump in enumerate(jumps):
+        hop = jump.select(F.col("ck").alias("k_"), F.col("node").alias("n_"), "up")
+        both = F.array(F.struct("node", "dist"), F.struct(F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist")))
+        wider = now.filter(F.col("depth") > 1 << k).join(hop, F.expr("ck = k_ AND node = n_"), "left").select("ck", "leaf", "depth", F.explode(both).alias("m"))
+        now = materialize(wider.select("ck", "leaf", "m.node", "m.dist", "depth").filter("node IS NOT NULL"), "members")
+        done = done.unionByName(now.filter(F.col("depth") <= 2 << k))
+    return done.select("ck", "leaf", "node", "dist")
 
 
 def chat_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -73,11 +95,7 @@ def chat_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     if branches is not None:
         chosen = chosen.filter(F.col("branch") <= branches)
     chosen = materialize(chosen, "leaves")
-    members = chosen.select("ck", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
-    for k, jump in enumerate(jumps):
-        hop = jump.select(F.col("ck").alias("k_"), F.col("node").alias("n_"), "up")
-        both = F.array(F.struct("node", "dist"), F.struct(F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist")))
-        members = members.join(hop, F.expr("ck = k_ AND node = n_"), "left").select("ck", "leaf", F.explode(both).alias("m")).select("ck", "leaf", "m.node", "m.dist").filter("node IS NOT NULL")
+    members = _members(chosen, jumps)
     texts = rows.select(F.col("ck").alias("k_"), F.col("node").alias("n_"), "conv_id", "role", "text")
     turns = members.join(texts, F.expr("ck = k_ AND node = n_")).select("ck", "conv_id", "leaf", "dist", "role", "text")
     head = F.concat(F.lit(START), escape(F.col("role"), role=True), F.lit("\n"))
