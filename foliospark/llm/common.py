@@ -54,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Rows in an Arrow batch at most. A row may be a whole text, so Spark's default of 10,000 is too many for small executors.
+ARROW_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ARROW_ROWS, if it is higher; Spark reads it when the action runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import pick, read_table
+from foliospark.llm.common import bounded_batches, pick, read_table
 
 #: Bounds of the training sample: documents of a language, and of all languages together.
 SAMPLE, SAMPLE_ROWS = 500, 20_000
@@ -151,6 +151,7 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE, rows: int = SAMPLE_ROWS, step
 
 def predict_languages(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import pick, read_table
+from foliospark.llm.common import bounded_batches, pick, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN, CALIBRATE, PRECISION = 6000, 3000, 0.98
@@ -326,6 +326,7 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 def find_pii(docs: DataFrame, trained: Model | None = None) -> DataFrame:
     """One row for each document: base counts, hash of the base spans, and all spans."""
     trained = trained or model()
+    bounded_batches(docs.sparkSession)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]

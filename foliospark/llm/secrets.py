@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import numbered, pick, read_table
+from foliospark.llm.common import bounded_batches, numbered, pick, read_table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -246,6 +246,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """One row for each document: base counts, hash of the base spans, all spans and the number of layers."""
+    bounded_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").mapInArrow(_report, SCHEMA)
 
 
@@ -261,6 +262,7 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """All documents with all their columns; secrets in the text are replaced, and n_chars, if there, counts anew."""
+    bounded_batches(docs.sparkSession)
     frame, (text,) = numbered(docs, "text")
     at = frame.columns.index(text)
     length = next((i for i, c in enumerate(docs.columns) if c == "n_chars"), None)

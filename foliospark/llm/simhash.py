@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize, numbered, pick, read_table
+from foliospark.llm.common import bounded_batches, materialize, numbered, pick, read_table
 from foliospark.llm.components import connected_components
 
 RADIUS = 4
@@ -66,6 +66,7 @@ def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row, fp as a signed bigint."""
+    bounded_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").mapInArrow(_add_fingerprints, "doc_id bigint, fp bigint")
 
 
@@ -195,6 +196,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
     Documents are written once with their fingerprints and a row number, so that repeated ids stay apart.
     """
+    bounded_batches(docs.sparkSession)
     frame, (doc_id, text) = numbered(docs, "doc_id", "text")
     rows = materialize(frame.withColumn("rid_", F.monotonically_increasing_id()), "dedup-rows")
     prints = materialize(rows.select("rid_", F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_add_fingerprints, "rid_ bigint, doc_id bigint, fp bigint"), "prints")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import pick, read_table
+from foliospark.llm.common import bounded_batches, pick, read_table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -388,6 +388,7 @@ def counter(name: str = VOCABULARY) -> Counter:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each document."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
