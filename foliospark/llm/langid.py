@@ -2,8 +2,8 @@
 
 Filters of several widths slide over byte embeddings; the maximum over a window, a rectifier and a softmax layer give the
 window's language. The network is trained with Adam on the driver from a bounded, documented sample: of each language
-the SAMPLE documents with the least hash, SAMPLE_ROWS in all, each with up to PIECES pieces of PIECE code points spread
-over its whole text. Prediction covers whole texts: every text is cut into overlapping windows of WINDOW bytes, windows
+up to SAMPLE documents drawn by hash, SAMPLE_ROWS in all, each with up to PIECES pieces of PIECE code points spread over
+its whole text. Prediction covers whole texts: every text is cut into overlapping windows of WINDOW bytes, windows
 are run in batches, and their probabilities are averaged, weighted by their bytes.
 
 Only documents with a language whose crc32(doc_id) mod 5 is not 0 are learned from; predictions see the text alone.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import bounded_batches, pick, read_table
+from foliospark.llm.common import bounded_batches, materialize, pick, read_table, small_or_salted_join
 
 #: Bounds of the training sample: documents of a language, and of all languages together.
 SAMPLE, SAMPLE_ROWS = 500, 20_000
@@ -132,10 +132,17 @@ def _held_out():
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """lang and pieces of the documents to learn from, per_lang of each language and `rows` in all at most."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~_held_out())
+    """lang and pieces of the documents to learn from, per_lang of each language and `rows` in all at most.
+
+    Languages are counted first, without reading texts; a document is drawn if its hash lies in the share of its
+    language that holds twice per_lang documents, so few rows are ranked however many there are.
+    """
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
+    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) < F.lit(2.0 * per_lang) / F.col("n")
+    drawn = small_or_salted_join(usable, counts, ["lang"]).filter(share).filter(F.col("text").rlike(r"\p{L}"))
     spread = F.array(*[F.expr(f"substring(text, CAST(greatest(length(text) - {PIECE}, 0) * {k / (PIECES - 1)} AS int) + 1, {PIECE})") for k in range(PIECES)])
-    light = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), spread.alias("pieces"))
+    light = drawn.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), spread.alias("pieces"))
     ranked = light.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "pieces"))).filter(F.col("rank") <= per_lang)
     return ranked.orderBy("rank", "lang", "h").limit(rows).select("lang", "pieces")
 
