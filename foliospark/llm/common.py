@@ -72,7 +72,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # zstd frees its native buffers with each page, snappy's direct ones wait for garbage collection; small row groups bound the writers' heap
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
