@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,8 +101,6 @@ def rerank(hits: DataFrame, score: Callable, k: int = TOP_K, pool: int = RERANK_
 
     score: a pandas function (Series, Series) -> Series. Questions with a single hit keep it and its score.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def judged(question: pd.Series, passage: pd.Series) -> pd.Series:
         return score(question, passage)

@@ -92,7 +92,7 @@ def _top_level(ddl: str) -> list[str]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of files in a folder or glob, by any store that Spark reads."""
+    """(path, content) of files in a folder or glob, by any store that Spark reads. Its scan leaves out empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 

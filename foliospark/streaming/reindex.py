@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructType
 
 from foliospark.operators.index import fingerprints, postings, save_index, stale
 
@@ -16,7 +17,7 @@ def reindex(spark: SparkSession, source: DataFrame, index_path: str, registry_pa
     doc_id with dynamic overwrite; a batch that is run again writes the same files.
     """
 
-    def known(path: str, schema: str) -> DataFrame:
+    def known(path: str, schema: StructType) -> DataFrame:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
@@ -24,7 +25,7 @@ def reindex(spark: SparkSession, source: DataFrame, index_path: str, registry_pa
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
         now = fingerprints(rows).persist()
-        registry = known(registry_path, "doc_id long, n_sections long, fingerprint string, bucket int")
+        registry = known(registry_path, _with_bucket(now))
         new = stale(now, registry).select(F.col("doc_id").alias("d_"))
         changed = rows.join(new, F.expr("doc_id = d_"), "left_semi")
         if not changed.isEmpty():
@@ -36,9 +37,13 @@ def reindex(spark: SparkSession, source: DataFrame, index_path: str, registry_pa
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _with_bucket(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields]).add("bucket", LongType())
+
+
 def replace(spark: SparkSession, rows: DataFrame, path: str, documents: DataFrame, known) -> None:
     """Write rows for `documents` (d_), keeping other documents' rows of the same buckets."""
-    old = known(path, rows.schema.simpleString()[7:-1].replace(":", " ") + ", bucket int")
+    old = known(path, _with_bucket(rows))
     buckets = documents.select(F.pmod(F.xxhash64("d_"), F.lit(64)).alias("b_")).distinct()
     rest = old.join(F.broadcast(buckets), F.expr("bucket = b_"), "left_semi").join(documents, F.expr("doc_id = d_"), "left_anti").drop("bucket")
     staged = f"{path}.staged"  # a table can't be overwritten while it is read
