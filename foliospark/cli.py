@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from foliospark import providers
 from foliospark.errors import FolioError
-from foliospark.operators import answers, index, search
 from foliospark.plans import pipeline
+from foliospark.plans.questions import answer_questions
 from foliospark.sources import archive
 from foliospark.sources.registry import read_files
 
@@ -52,13 +52,7 @@ def ask(spark: SparkSession, path: str, question: str, complete=None) -> DataFra
     documents, sections, numbers = load(spark, path)
     sections = sections.cache()
     questions = documents.select(F.xxhash64("doc_id").alias("qid"), "doc_id", F.lit(question).alias("question"))
-    hits = search.hybrid(sections, questions, index.structural_edges(sections))
-    body = sections.select(F.col("doc_id").alias("d_"), F.col("sec_idx").alias("s_"), "id", "title", "text", "tables", "summary", "keywords")
-    hits = hits.join(body, F.expr("doc_id = d_ AND sec_idx = s_")).withColumn("question", F.lit(question))
-    hits = hits.withColumn("confidence", answers.confidence(F.col("question"), F.col("title"), F.col("keywords"), F.col("text")))
-    whole = sections.groupBy(F.col("doc_id").alias("d_")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_idx", F.concat("title", F.lit("\n"), "text").alias("t")))), lambda x: x["t"]), "\n\n").alias("full_text"))
-    whole = questions.join(whole, F.expr("doc_id = d_"), "left").select("qid", "question", F.coalesce("full_text", F.lit("")).alias("full_text"))
-    out = answers.answer(questions, documents, numbers, hits, complete, whole)
+    out = answer_questions(questions, documents, sections, numbers, complete)
     names = questions.select(F.col("qid").alias("q_"), "doc_id")
     return out.join(names, F.expr("qid = q_")).select("doc_id", "answer", "citations", "layer_used", "tokens_used", "confidence")
 

@@ -100,6 +100,11 @@ def save_index(index: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def forget(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """The index without the rows of `documents` (doc_id), which makes them stale."""
+    return index.join(documents.select(F.col("doc_id").alias("d_")), F.expr("doc_id = d_"), "left_anti")
+
+
 def index_stats(registry: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, n_sections, n_edges) of every indexed document."""
     n = edges.groupBy(F.col("doc_id").alias("d_")).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,32 @@ def parse_verdict(reply: Column) -> Column:
     return F.struct(F.coalesce(F.try_element_at(scores, F.lit(-1)).cast("int"), F.lit(5)).alias("score"), F.coalesce(reason, F.lit("parse error")).alias("reason"))
 
 
+PROMPT = """Compare an answer with the true one and grade its facts from 0 to 10.
+Be generous with rounded numbers and with wording; 10 is right in full, 8 or 9 misses little, 6 misses key facts, 4 or less is mostly wrong, 0 is made up.
+
+Question: {question}
+True answer: {reference}
+Answer: {candidate}
+
+Reply with two lines:
+SCORE: <0 to 10>
+REASONING: <one sentence>"""
+
+
+def model_scores(answers: DataFrame, complete) -> DataFrame:
+    """Adds score and reason by a model (prompt -> text) to rows with question, candidate and reference."""
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        return prompts.map(complete)
+
+    filled = F.lit(PROMPT)
+    for name in ("question", "reference", "candidate"):
+        filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
+    verdict = parse_verdict(ask(filled))
+    return answers.withColumn("v_", verdict).select("*", "v_.score", "v_.reason").drop("v_")
+
+
 def report(scores: DataFrame) -> DataFrame:
     """(phase, file, n, avg_score, hit_rate): for each file, each phase and all; a hit scores 7 or more."""
     rows = scores.rollup("phase", "file").agg(F.count("*").alias("n"), F.avg(F.coalesce("score", F.lit(0))).alias("avg_score"), F.avg((F.coalesce("score", F.lit(0)) >= 7).cast("double")).alias("hit_rate"))

@@ -52,12 +52,15 @@ def bm25(sections: DataFrame, questions: DataFrame, scope: str = "document", ste
     found = found.join(asked, F.expr("qid = q_ AND (only_ IS NULL OR only_ = doc_id)")).drop("q_", "only_")
     lengths = section_lengths(sections)
     keys = ["doc_id"] if scope == "document" else []
-    stats = lengths.groupBy(*keys).agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"))
+    n_all, mean = F.count("*").alias("n_all"), F.avg("length").alias("mean")
     with_n = found.groupBy("qid", "unit", *keys).agg(F.count("*").alias("n"))
     same = F.expr("qid = q_ AND unit = u_" + (" AND doc_id = d_" if keys else ""))
     found = found.join(with_n.select(F.col("qid").alias("q_"), F.col("unit").alias("u_"), *[F.col(k).alias("d_") for k in keys], "n"), same).drop("q_", "u_", "d_")
     found = found.join(lengths.select(F.col("doc_id").alias("d_"), F.col("sec_idx").alias("s_"), "length"), F.expr("doc_id = d_ AND sec_idx = s_")).drop("d_", "s_")
-    found = found.join(stats, "doc_id") if keys else found.crossJoin(F.broadcast(stats))  # one row
+    if keys:
+        found = found.join(lengths.groupBy("doc_id").agg(n_all, mean), "doc_id")
+    else:
+        found = found.withColumn("n_all", lengths.agg(n_all).scalar()).withColumn("mean", lengths.agg(mean).scalar())
     idf = F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
     part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

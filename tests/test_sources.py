@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from foliospark import cli, providers
 from foliospark.errors import IntelligenceError, ParseError, UnsupportedFormatError
+from foliospark.plans import pipeline
+from foliospark.plans.questions import evaluate
 from foliospark.sources import archive, delimited, docx, evalcases, html, markdown, pdf, xlsx
 from foliospark.sources.registry import Parser, ParserRegistry, raw_sections, read_files
 from foliospark.streaming.reindex import reindex
@@ -220,6 +222,21 @@ def test_eval_cases(spark, tmp_path):
     assert [tuple(r) for r in got] == [("md", "a.md", 0, "x?", "y"), ("md", "a.md", 1, "z?", "w")]
 
 
+def test_evaluation(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Plan2024.md").write_text("# Plan\nService uptime: 99.9%\n## Team\nThe team moved to the harbour office in spring.\n")
+    (tmp_path / "c.json").write_text(json.dumps([{"format": "md", "file": "x/Plan2024.md", "questions": [{"q": "what is the service uptime?", "truth": "Service uptime: 99.9%"}, {"q": "where did the team moved office", "truth": "the harbour office"}, {"q": "weather?", "truth": "rain on 12 days"}]}]))
+    parsed, sections, numbers = pipeline.ingest(spark, f"{tmp_path}/in")
+    documents = parsed.select("doc_id", "title", F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("insights"))
+    sections = sections.withColumn("summary", F.lit(None).cast("string")).cache()
+    cases = evalcases.read_cases(spark, f"{tmp_path}/c.json")
+    scores, report = evaluate(cases, documents, sections, numbers)
+    assert [(r.layer_used, r.score) for r in scores.orderBy("nth").collect()] == [(0, 10), (1, 10), (-1, 0)]
+    assert {(r.phase, r.file): r.n for r in report.collect()} == {("md", "x/Plan2024.md"): 3, ("md", None): 3, (None, None): 3}
+    graded, _ = evaluate(cases, documents, sections, numbers, lambda p: "a reply", lambda p: f"SCORE: {len(p) % 3}\nREASONING: x")
+    assert all(r.score in (0, 1, 2) and r.reason == "x" for r in graded.collect()) and graded.filter("layer_used >= 2").count() == 1
+
+
 def test_connectors():
     sent = []
     chat = providers.ChatCompletions("http://h/v1/", "m", "k", send=lambda u, b, h: sent.append((u, b, h)) or {"choices": [{"message": {"content": "hi"}}]})
