@@ -26,6 +26,8 @@ from foliospark.llm.common import bounded_batches, materialize, pick, read_table
 
 CAPACITY = 2048
 SHARD = 10_000
+#: Effort of the local search: emptiest bins that give in a pass, and a bin's largest documents that are paired.
+DONORS, PAIRED = 1024, 16
 #: UTF-8 bytes of ASCII and of the code points up to U+023F, whose classes no Unicode version changes.
 _SETTLED = bytes([*range(0x80), *range(0x80, 0xC0), *range(0xC2, 0xC9)])
 
@@ -113,9 +115,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Fewer or as many bins, none over capacity.
 
-    The emptiest bin gives: a document that fits elsewhere moves; else one document, or two together, are exchanged for
+    The emptiest bins give: a document that fits elsewhere moves; else one document, or two together, are exchanged for
     a smaller one of a fuller bin with room for the difference. Every step raises the sum of squared fills, a bounded
-    integer, so the search ends; it also ends at the fewest bins that the total allows.
+    integer, and passes go on while they empty bins, so the search ends; it also ends at the fewest bins that the total
+    allows.
     """
     bins = [list(b) for b in bins]
     n = len(lengths)
@@ -135,25 +138,33 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
         fill[b] += lengths[item]
 
     def step(a: int) -> bool:
-        """One improving step that takes from bin a; the largest of its kind."""
+        """One improving step that takes from bin a, the largest of its kind: a move, else a swap for one, else for two."""
         gap = capacity - fill
         open_ = alive & (fill >= fill[a]) & (gap > 0)
         open_[a] = False
         if not open_.any():
             return False
-        best_gap = gap[open_].max()
         own = sorted(bins[a], key=lambda i: -lengths[i])
         for i in own:
-            if lengths[i] <= best_gap:
+            if lengths[i] <= gap[open_].max():
                 fits = np.nonzero(open_ & (gap >= lengths[i]))[0]
                 put(i, int(fits[np.argmin(gap[fits])]))
                 return True
+        # the most room beside any document of each length: then all exchanges are compared at once
         room = np.where(open_, gap, 0)[place]
-        for give in [[i] for i in own] + ([[i, j] for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]):
-            less = lengths[give].sum() - lengths
-            less = np.where((less > 0) & (less <= room), less, 0)
-            j = int(np.argmax(less))
-            if less[j]:
+        best = np.zeros(capacity + 1, np.int64)
+        np.maximum.at(best, lengths, room)
+        takes = np.nonzero(best)[0]
+        pairs = [(i, j) for k, i in enumerate(own[:PAIRED]) for j in own[k + 1 : PAIRED]]
+        for gives in ([(i,) for i in own], pairs):
+            if not gives or not len(takes):
+                continue
+            gain = np.array([sum(lengths[i] for i in g) for g in gives])[:, None] - takes
+            gain[(gain <= 0) | (gain > best[takes])] = 0
+            at = int(gain.argmax())
+            if gain.flat[at]:
+                give, take = gives[at // len(takes)], takes[at % len(takes)]
+                j = int(np.argmax(np.where(lengths == take, room, 0)))
                 b = int(place[j])
                 put(j, a)
                 for i in give:
@@ -161,20 +172,17 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
                 return True
         return False
 
-    stuck: set[int] = set()
-    while alive.sum() > least:
-        giving = [b for b in np.nonzero(alive & (fill < capacity))[0].tolist() if b not in stuck]
-        if not giving:
-            break
-        a = min(giving, key=lambda b: fill[b])
-        moved = False
-        while bins[a] and step(a):
-            moved = True
-        if not bins[a]:
-            alive[a] = False
-        if moved:
-            stuck.clear()
-        stuck.add(a)
+    emptied = True
+    while emptied and alive.sum() > least:
+        emptied = False
+        giving = np.nonzero(alive & (fill < capacity))[0]
+        for a in giving[np.argsort(fill[giving], kind="stable")][:DONORS].tolist():
+            while bins[a] and step(a):
+                pass
+            if not bins[a]:
+                alive[a], emptied = False, True
+                if alive.sum() == least:
+                    break
     return [items for b, items in enumerate(bins) if alive[b]]
 
 
