@@ -88,7 +88,8 @@ def small_or_salted_join(left: DataFrame, right: DataFrame, keys: list[str], sal
     """Left join of many rows to a materialised table with one row per key, null keys matching null keys.
 
     Up to BROADCAST_ROWS rows (counted, not guessed) the table is broadcast. Beyond that both sides are dealt by key and
-    salt, the table once for each salt, so that a hot key spreads over `salts` tasks.
+    salt, the table once for each salt, so that a hot key spreads over `salts` tasks. The salt is seeded: over a left side
+    that is read from files, as everywhere here, a repeated task deals its rows as before.
     """
     rows = right.count()
     renamed = right.toDF(*[f"r_{c}" if c in keys else c for c in right.columns])

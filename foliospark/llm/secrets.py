@@ -34,7 +34,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 STEMS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A percent escape with all escapes of its own percent sign: %2541 is %41 is A. Taking them at once keeps chains of them
+#: from making a layer for each; the layers between differ in nothing that a secret can hold.
+URL = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+URL_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 32 << 20
@@ -145,17 +148,20 @@ def _escapes(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
         p, last = Pieces(), 0
         for m in URL.finditer(text):
             p.add(text[last : m.start()], last, 1, 1)
-            raw, at = bytes.fromhex(m[0].replace("%", "")), m.start()
             last = m.end()
-            if raw.isascii():
-                p.add(raw.decode(), at, 3, 3)
+            units = [(u.start(), u.end(), u[1]) for u in URL_UNIT.finditer(text, *m.span())]
+            raw = bytes.fromhex("".join(h for *_, h in units))
+            if raw.isascii() and len(units) * 3 == len(m[0]):
+                p.add(raw.decode(), m.start(), 3, 3)
                 continue
             if (got := _expand(raw, most)) and got[0]:
                 yield Layer(_readable(got[0]) or got[0].decode("latin-1"), lambda s, e, a=m.start(), b=m.end(): layer.to_root(a, b)), got[1]
+            k = 0
             for c in raw.decode(errors="surrogateescape"):
-                size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-                p.add("�" if "\udc80" <= c <= "\udcff" else c, at, 0, 3 * size)
-                at += 3 * size
+                odd = "\udc80" <= c <= "\udcff"
+                size = 1 if odd else len(c.encode())
+                p.add("\ufffd" if odd else c, units[k][0], 0, units[k + size - 1][1] - units[k][0])
+                k += size
         p.add(text[last:], last, 1, 1)
         yield Layer("".join(p.text), lambda s, e, p=p: layer.to_root(*p.to_source(s, e))), False
     if ("\\" in text or "&#" in text) and UNICODE.search(text):

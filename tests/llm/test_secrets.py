@@ -55,6 +55,9 @@ def test_nested_layers_map_to_the_original():
 
 def test_cycles_and_bombs_end():
     assert secrets.find("%25" * 50 + "%32%35")[1] == []
+    assert secrets.find("%" + "25" * 50_000 + " x")[2] == 1  # one layer, however long the chain
+    text = "é token%25253D%2522abc%2564ef" + "%C3%A9" + "123 %E2%82"
+    assert {text[s:e] for s, _, e in secrets.find(text)[1]} == {"token%25253D%2522abc%2564ef"}
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
     _, _, layers, cuts = secrets.find(bomb, max_layer=100_000)
     assert (layers, cuts) == (1, 1)
