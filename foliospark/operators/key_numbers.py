@@ -80,4 +80,4 @@ def key_numbers(sections: DataFrame, limit: int = 64) -> DataFrame:
     unit = F.when(F.col("m.kind") == "percent", "%").when(F.col("raw").startswith("$"), "USD")
     rows = first.select("doc_id", "sec_idx", "m.line", "m.pos", "m.label", F.col("raw").alias("value"), unit.alias("unit"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("sec_idx", "line", "pos"))
-    return rows.withColumn("kn_idx", rank - 1).filter(F.col("kn_idx") < limit).select("doc_id", "kn_idx", "sec_idx", "label", "value", "unit")
+    return rows.withColumn("n_", rank).filter(F.col("n_") <= limit).select("doc_id", (F.col("n_") - 1).alias("kn_idx"), "sec_idx", "label", "value", "unit")

@@ -71,8 +71,10 @@ def ranked(scores: DataFrame, k: int | None, *by: str) -> DataFrame:
     """Adds rank (0-based) in each group by score (rounded), then place; the first k. Few rows a group are shuffled."""
     keys = list(by) or ["qid"]
     order = W.partitionBy(*keys).orderBy(F.round("score", PLACES).desc(), *[c for c in ("doc_id", "sec_idx") if c not in keys])
-    rows = scores.withColumn("rank", F.row_number().over(order) - 1)
-    return rows if k is None else rows.filter(F.col("rank") < k)
+    rows = scores.withColumn("n_", F.row_number().over(order))
+    if k is not None:  # on the number itself: Spark then keeps k rows of each group before the shuffle
+        rows = rows.filter(F.col("n_") <= k)
+    return rows.withColumn("rank", F.col("n_") - 1).drop("n_")
 
 
 def dense(section_vectors: DataFrame, question_vectors: DataFrame) -> DataFrame:
@@ -111,7 +113,8 @@ def rerank(hits: DataFrame, score: Callable, k: int = TOP_K, pool: int = RERANK_
     few = hits.filter(F.col("rank") < pool).withColumn("many_", F.count("*").over(W.partitionBy("qid")) > 1)
     rows = few.withColumn("score", F.when(F.col("many_"), F.coalesce(judged("question", "passage"), F.lit(-1.7976931348623157e308))).otherwise(F.col("score")))
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "rank")
-    return rows.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).drop("many_")
+    best = rows.withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= k)
+    return best.withColumn("rank", F.col("n_") - 1).drop("many_", "n_")
 
 
 def hybrid(sections: DataFrame, questions: DataFrame, edges: DataFrame, section_vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, k: int = TOP_K, scope: str = "document", stem=None) -> DataFrame:
