@@ -64,7 +64,7 @@ def test_token_counts_and_tables(spark):
 
 
 def test_names(spark):
-    for stem, slug in (("GunjanTailor", "gunjan-tailor"), ("Report2024", "report-2024"), ("sales_data 2024", "sales-data-2024"), ("__x__", "x"), ("2ndDraft", "2-nd-draft")):
+    for stem, slug in (("BlueHarbour", "blue-harbour"), ("Report2024", "report-2024"), ("sales_data 2024", "sales-data-2024"), ("__x__", "x"), ("2ndDraft", "2-nd-draft")):
         assert value(spark, text.doc_slug(F.col("p")), p=f"/a.b/{stem}.Docx") == slug
     for source, label in (("C:\\a\\b.md", "b.md"), ("/x/y/z.md/", "z.md"), ("z.md", "z.md"), ("https://h/p/", "https://h/p/"), ("///", "///")):
         assert value(spark, text.source_label(F.col("s")), s=source) == label
