@@ -248,7 +248,7 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose lines in turn are headings, fences and text."""
     line = lambda s, i: F.when(i % 5 == 1, F.concat(F.repeat(F.lit("#"), (i % 3 + 1)), F.lit(" "), s)).when(i % 7 == 3, F.lit("```")).otherwise(s)
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("fallback"))
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("fallback"), F.concat(F.lit("Before "), F.col("doc_id").cast("string")).alias("preamble"))
     return markdown.sections(docs).select("doc_id", "sec_idx", "title", "level", "text")
 
 

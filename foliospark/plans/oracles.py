@@ -243,7 +243,7 @@ f AS (SELECT *, regexp_matches(s, '^[ \\t]*(```|~~~)') AS fe, sum(CASE WHEN rege
 h AS (SELECT *, NOT fe AND k % 2 = 0 AND regexp_matches(s, '^#{1,6}\\s+.+?\\s*$') AS head FROM f), g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
 b AS (SELECT doc_id, sec, trim(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT head), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, max(CASE WHEN head THEN regexp_extract(s, '^(#{1,6})\\s+(.+?)\\s*$', 2) END) AS title, max(CASE WHEN head THEN length(regexp_extract(s, '^(#{1,6})', 1)) END) AS level FROM g GROUP BY doc_id, sec),
 d AS (SELECT *, max(sec) OVER (PARTITION BY doc_id) AS heads FROM b), e AS (SELECT * FROM d WHERE sec > 0 OR text <> '' OR heads = 0)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS sec_idx, coalesce(title, 'Doc ' || doc_id) AS title, CAST(coalesce(level, 1) AS INTEGER) AS level, text FROM e""",
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS sec_idx, coalesce(title, CASE WHEN heads = 0 THEN 'Doc ' ELSE 'Before ' END || doc_id) AS title, CAST(coalesce(level, 1) AS INTEGER) AS level, text FROM e""",
     "pdf_headings": f"""WITH {SECTIONS}, p AS (SELECT doc_id, sec_idx AS n, text, CASE WHEN sec_idx % 6 = 0 THEN 16.0 WHEN sec_idx % 6 = 3 THEN 13.0 WHEN length(text) % 7 = 0 THEN 11.8 ELSE 11.0 END::DOUBLE AS size, length(text) % 2 = 0 AS bold FROM sec),
 m AS (SELECT doc_id, list_sort(list(size))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS med FROM p GROUP BY doc_id), h AS (SELECT p.*, size >= med * CAST(1.15 AS DOUBLE) AS large, (bold AND size >= med * CAST(1.05 AS DOUBLE) AND length(text) < 100) AS b FROM p JOIN m ON p.doc_id = m.doc_id WHERE text <> ''),
 z AS (SELECT doc_id, size, least(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC), 6) AS lv FROM (SELECT DISTINCT doc_id, size FROM h WHERE large)), k AS (SELECT h.*, coalesce(lv, 1) AS lv FROM h LEFT JOIN z ON h.doc_id = z.doc_id AND h.size = z.size AND large),

@@ -16,3 +16,10 @@ def title_case(text: str) -> str:
 
 def filename_title(name: str) -> str:
     return title_case(re.sub(r"[-_]+", " ", name))
+
+
+def slug(path: str) -> str:
+    s = re.sub("([a-z])([A-Z])", r"\1-\2", stem(path))
+    s = re.sub("([A-Za-z])([0-9])", r"\1-\2", s)
+    s = re.sub("([0-9])([A-Za-z])", r"\1-\2", s)
+    return re.sub(r"[\s_-]+", "-", s).lower().strip("-")

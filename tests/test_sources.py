@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark import cli, providers
 from foliospark.errors import IntelligenceError, ParseError, UnsupportedFormatError
+from foliospark.functions import text
 from foliospark.plans import pipeline
 from foliospark.plans.questions import evaluate
 from foliospark.sources import archive, delimited, docx, evalcases, html, markdown, pdf, xlsx
@@ -20,17 +21,20 @@ MD = "intro text\n\n# Annual Report\nfirst\n## Revenue\nsome text\n```\n# not a
 
 
 def test_markdown(spark):
-    title, kind, sections = markdown.parse("/x/my_notes.md", MD.encode())
+    title, kind, sections = markdown.parse("/x/myNotes_2.md", MD.encode())
     assert (title, kind) == ("Annual Report", "md")
-    assert [(s["title"], s["level"]) for s in sections] == [("My Notes", 1), ("Annual Report", 1), ("Revenue", 2), ("Costs", 2)]
+    assert [(s["title"], s["level"]) for s in sections] == [("My Notes 2", 1), ("Annual Report", 1), ("Revenue", 2), ("Costs", 2)]
     assert sections[2]["text"] == "some text\n```\n# not a heading\n```"
-    assert markdown.parse("a-b.md", b"")[2] == [{"title": "A B", "level": 1, "text": ""}]
-    docs = spark.createDataFrame([("a", MD, "My Notes"), ("b", "", "Empty"), ("c", "just text\r\nmore", "Plain"), ("d", "~~~\n# x\n~~~\n# y", "F")], "doc_id string, text string, fallback string")
+    assert markdown.parse("a-b.md", b"")[2] == [{"title": "a-b", "level": 1, "text": ""}]
+    assert markdown.parse("a-b.md", b"## x\nplain")[0] == "a-b"
+    texts = {"myNotes": MD, "b-b": "", "plain_text": "just text\r\nmore", "fences": "~~~\n# x\n~~~\n# y", "two": "\n\n# one\n# two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").withColumn("fallback", F.col("doc_id"))
+    docs = docs.withColumn("preamble", text.title_case(F.replace(text.doc_slug(F.concat("doc_id", F.lit(".md"))), F.lit("-"), F.lit(" "))))
     got = {}
     for r in markdown.sections(docs).orderBy("doc_id", "sec_idx").collect():
         got.setdefault(r.doc_id, []).append({"title": r.title, "level": r.level, "text": r.text})
-    for d, text, name in (("a", MD, "my_notes"), ("b", "", "empty"), ("c", "just text\r\nmore", "plain"), ("d", "~~~\n# x\n~~~\n# y", "f")):
-        assert got[d] == markdown.parse(f"{name}.md", text.encode())[2]
+    for name, body in texts.items():
+        assert got[name] == markdown.parse(f"{name}.md", body.encode())[2]
 
 
 def test_delimited():
