@@ -51,14 +51,17 @@ def figures(sections: DataFrame) -> DataFrame:
     pieces = line.withColumn("p", cut)
     one = pieces.select("doc_id", "sec_idx", "line", "s", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1)), F.lit(2))).alias("i")).filter(F.col("i") < F.size("p"))
     one = one.select("doc_id", "sec_idx", "line", "s", F.array_join(F.slice("p", F.lit(1), F.col("i")), "").alias("left"), F.trim(F.get("p", F.col("i"))).alias("raw"))
-    one = one.withColumn("pos", F.length("left")).withColumn("kind", kind(F.col("raw")))
+    one = one.withColumn("pos", F.length("left"))
+    # filters are pushed below projections and their inputs computed again there, so they use the cheapest forms
+    bare = F.col("raw").rlike(r"^[0-9,.]+$")
     listed = F.length(F.regexp_extract("s", f"({LIST_MARKER})", 1)) > F.col("pos")
     last_word = F.element_at(F.split(F.rtrim(F.col("left")), r"\s+"), -1)
     acronym = F.regexp_replace(last_word, "^[.,]+|[.,]+$", "").rlike("^[A-Z]{2,}$")
-    value = parse_number(F.col("raw"))
-    year = (F.col("kind") == "count") & F.coalesce((value >= 1900) & (value <= 2099), F.lit(False)) & ~F.contains("raw", F.lit("."))
+    value = F.replace("raw", F.lit(","), F.lit("")).try_cast("double")
+    year = bare & F.coalesce((value >= 1900) & (value <= 2099), F.lit(False)) & ~F.contains("raw", F.lit("."))
     one = one.filter(~listed & ~F.col("left").rlike("[A-Za-z]-?$") & ~acronym & ~year)
-    inline = F.regexp_extract(F.regexp_replace(F.col("left"), r"\s+$", ""), INLINE_LABEL, 1)
+    # the label's pattern retries at every letter, so it only runs where a colon ends the left context
+    inline = F.when(F.col("left").rlike(r":\s*\**\s*$"), F.regexp_extract(F.regexp_replace(F.col("left"), r"\s+$", ""), INLINE_LABEL, 1)).otherwise(F.lit(""))
     every = F.regexp_extract_all("left", F.lit(LABEL_WORD), 1)
     own = F.filter(every, lambda w: ~F.array_contains(text.strings(words.LABEL_FILLERS), F.lower(w)))
     spelled = F.array_join(F.slice(own, F.greatest(F.size(own) - 3, F.lit(1)), F.lit(4)), " ")
@@ -66,8 +69,8 @@ def figures(sections: DataFrame) -> DataFrame:
     one = one.withColumn("label", label).withColumn("inline", inline != "").withColumn("words", every).filter(F.col("label") != "")
     reference = F.array_contains(text.strings(words.REFERENCE_WORDS), F.lower(F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit(""))))
     name = ~F.contains("label", F.lit(" ")) & F.col("label").rlike(r"^\p{Lu}")
-    noise = (F.col("kind") == "count") & ~F.col("inline") & (reference | name)
-    return one.filter(~noise).select("doc_id", "sec_idx", "line", "pos", "raw", "kind", "label")
+    noise = bare & ~F.col("inline") & (reference | name)
+    return one.filter(~noise).select("doc_id", "sec_idx", "line", "pos", "raw", kind(F.col("raw")).alias("kind"), "label")
 
 
 def key_numbers(sections: DataFrame, limit: int = 64) -> DataFrame:

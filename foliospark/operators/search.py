@@ -24,32 +24,34 @@ PLACES = 12
 
 
 def query_terms(questions: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(qid, unit, words, n_words, nth, term): a unit is a token or, where it has parts, a phrase."""
-    units = questions.select("qid", F.posexplode(F.array_distinct(text.query_units(F.col("question")))).alias("unit", "w"))
+    """(qid, only, unit, n_words, nth, term): a unit is a token or, where it has parts, a phrase; only: the question's document."""
+    units = questions.select("qid", F.col("doc_id").alias("only"), F.posexplode(F.array_distinct(text.query_units(F.col("question")))).alias("unit", "w"))
     parts = text.index_tokens(F.col("w"))
     rows = units.withColumn("p", parts if stem is None else stem(parts)).filter(F.size("p") > 0)
-    return rows.select("qid", "unit", F.size("p").alias("n_words"), F.posexplode("p").alias("nth", "term"))
+    return rows.select("qid", "only", "unit", F.size("p").alias("n_words"), F.posexplode("p").alias("nth", "term"))
 
 
-def occurrences(sections: DataFrame, terms: DataFrame, stem=None) -> DataFrame:
+def occurrences(sections: DataFrame, terms: DataFrame, stem=None, within: bool = False) -> DataFrame:
     """(qid, unit, doc_id, sec_idx, f): occurrences of each unit in a section; phrases stay in one column.
 
-    A phrase stands where all its words stand at the same start. Tokens without a question's term are dropped by the join.
+    A phrase stands where all its words stand at the same start. Tokens without a question's term are dropped by the
+    join. within: every question is of one document, so tokens meet the terms of their own document's questions only.
     """
-    hits = token_rows(sections, stem).join(terms, "term").withColumn("start", F.col("pos") - F.col("nth"))
-    single = hits.filter("n_words = 1").groupBy("qid", "unit", "doc_id", "sec_idx").agg(F.count("*").alias("f"))
-    whole = hits.filter("n_words > 1").groupBy("qid", "unit", "n_words", "doc_id", "sec_idx", "col", "start").agg(F.count_distinct("nth").alias("m")).filter("m = n_words")
-    return single.unionByName(whole.groupBy("qid", "unit", "doc_id", "sec_idx").agg(F.count("*").alias("f")))
+    asked = terms.withColumnRenamed("term", "t_")
+    hits = token_rows(sections, stem).join(asked, F.expr("doc_id = only AND term = t_" if within else "term = t_ AND (only IS NULL OR only = doc_id)"))
+    hits = hits.withColumn("start", F.col("pos") - F.col("nth"))
+    # a unit of one word and a phrase alike: all n_words words at one start
+    whole = hits.groupBy("qid", "unit", "n_words", "doc_id", "sec_idx", "col", "start").agg(F.count("*").alias("m")).filter("m = n_words")
+    return whole.groupBy("qid", "unit", "doc_id", "sec_idx").agg(F.count("*").alias("f"))
 
 
-def bm25(sections: DataFrame, questions: DataFrame, scope: str = "document", stem=None) -> DataFrame:
+def bm25(sections: DataFrame, questions: DataFrame, scope: str = "document", stem=None, within: bool = False) -> DataFrame:
     """(qid, doc_id, sec_idx, score) of every section with a unit of the question.
 
-    scope: statistics over each `document`, or over the whole `corpus`. A question with a doc_id sees that document only.
+    scope: statistics over each `document`, or over the whole `corpus`. A question with a doc_id sees that document
+    only; within: all have one, which makes the document a join key.
     """
-    found = occurrences(sections, query_terms(questions, stem), stem)
-    asked = questions.select(F.col("qid").alias("q_"), F.col("doc_id").alias("only_"))
-    found = found.join(asked, F.expr("qid = q_ AND (only_ IS NULL OR only_ = doc_id)")).drop("q_", "only_")
+    found = occurrences(sections, query_terms(questions, stem), stem, within)
     lengths = section_lengths(sections)
     keys = ["doc_id"] if scope == "document" else []
     n_all, mean = F.count("*").alias("n_all"), F.avg("length").alias("mean")
@@ -118,8 +120,11 @@ def rerank(hits: DataFrame, score: Callable, k: int = TOP_K, pool: int = RERANK_
 
 
 def hybrid(sections: DataFrame, questions: DataFrame, edges: DataFrame, section_vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, k: int = TOP_K, scope: str = "document", stem=None) -> DataFrame:
-    """(qid, doc_id, sec_idx, rank, score): BM25 and, with vectors, dense ranks of 3k each, fused, expanded, the best k."""
-    lists = {BM25_WEIGHT: ranked(bm25(sections, questions, scope, stem), 3 * k)}
+    """(qid, doc_id, sec_idx, rank, score): BM25 and, with vectors, dense ranks of 3k each, fused, expanded, the best k.
+
+    Every question has a doc_id.
+    """
+    lists = {BM25_WEIGHT: ranked(bm25(sections, questions, scope, stem, within=True), 3 * k)}
     if section_vectors is not None and question_vectors is not None:
         lists[DENSE_WEIGHT] = ranked(dense(section_vectors, question_vectors), 3 * k)
     return ranked(expand(fuse(lists), edges), k)
