@@ -1,12 +1,15 @@
 """Operator 1: secret scan with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets. Then nested layers are unwrapped: percent escapes, Unicode escapes, base64
-runs and the compressed streams in them. Every layer goes to a worklist, is scanned like the text itself and unwrapped
-further until nothing new appears; a layer with the same content for the same place has been seen (cycle detection).
-Each layer maps its offsets to its parent's, so findings are reported as spans of the original text.
+runs and compressed streams. Every layer is kept as bytes, goes to a worklist, is scanned like the text itself and
+unwrapped further by every decoder until nothing new appears; a layer with the same content for the same place has been
+seen (cycle detection). A stream may begin anywhere in decoded bytes; members or frames that follow each other are one
+layer. Each layer maps its offsets to its parent's, so findings are reported as spans of the original text; a finding in
+a compressed stream stands for the stream's whole place. n_layers counts layers that are readable, decompressed or hold
+a finding.
 
-Memory: one text at a time, its layers, and at most `max_layer` bytes of any decompressed stream. What a stream holds
-beyond that is not scanned, and n_cut counts such streams: a stream can expand a thousandfold, so some bound is needed.
+Memory: one text at a time and the layers on the way to the one at work. At most `max_layer` bytes of any decompressed
+stream are scanned, and n_cut counts the longer ones.
 
 Defined cases: null text is empty; repeated rows are scanned one by one; an empty table gives an empty result; further
 columns are ignored by the report and kept by the redaction.
@@ -14,9 +17,9 @@ columns are ignored by the report and kept by the redaction.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -24,23 +27,30 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.common import bounded_batches, numbered, pick, read_table
 
 KINDS = ("assign", "access", "hex")
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
-ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
-HEX = re.compile(r"[0-9a-f]{24,}")
+ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(rb"[0-9a-f]{24,}")
 STEMS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: A percent escape with all escapes of its own percent sign: %2541 is %41 is A. Taking them at once keeps chains of them
 #: from making a layer for each; the layers between differ in nothing that a secret can hold.
-URL = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
-URL_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
-UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+URL = re.compile(rb"%(?:25)*([0-9A-Fa-f]{2})")
+UNICODE = re.compile(rb"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: The same where the escapes stand for bytes, with the short ones that byte strings are written with.
+BYTES = re.compile(UNICODE.pattern + rb"""|\\[abfnrtv0\\'"/]""")
+SHORT = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0"))
+BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Where a zlib, gzip, bz2, xz or zstd stream may begin.
+MAGIC = re.compile(rb"\x78[\x01\x5e\x9c\xda]|\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 MAX_LAYER = 32 << 20
+#: Bytes that are decompressed or copied at once.
+PIECE = 1 << 20
 #: Byte classes, so that long runs can be looked for by substring search.
 _HEX_RUN = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _B64_RUN = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
@@ -48,12 +58,28 @@ _B64_RUN = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-
 Span = tuple[int, int, int]
 
 
+def _scan(data) -> Iterator[Span]:
+    for m in ASSIGN.finditer(data):
+        if m.end(2) - m.start(2) >= 6:
+            yield m.start(), 0, m.end()
+    for kind, pattern in ((1, ACCESS), (2, HEX)):
+        for m in pattern.finditer(data):
+            yield m.start(), kind, m.end()
+
+
+def _characters(raw: bytes) -> Callable[[int, int], tuple[int, int]]:
+    """Byte offsets of UTF-8 to those of characters."""
+    if raw.isascii():
+        return lambda s, e: (s, e)
+    at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return lambda s, e: (int(at[s]) - 1, int(at[e - 1]))
+
+
 def scan(text: str) -> list[Span]:
     """(start, index of the kind, end) of all secrets that stand in the text as it is."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    return sorted(found)
+    raw = text.encode(errors="surrogatepass")
+    of = _characters(raw)
+    return sorted((a, kind, b) for s, kind, e in _scan(raw) for a, b in [of(s, e)])
 
 
 def may_matter(raw: bytes) -> bool:
@@ -66,27 +92,30 @@ def may_matter(raw: bytes) -> bool:
 
 
 class Layer:
-    """A decoded text and how its offsets map to those of the original."""
+    """Decoded bytes and how their offsets map to those of the original. In a flat layer all stand for the one place.
 
-    def __init__(self, text: str, to_root: Callable[[int, int], tuple[int, int]]):
-        self.text, self.to_root = text, to_root
+    `place` is that of the whole layer in the original; a layer that is not sure counts only if it holds a finding.
+    """
+
+    def __init__(self, data, to_root: Callable[[int, int], tuple[int, int]], place: tuple[int, int] | None = None, flat: bool = False, sure: bool = True, cut: bool = False):
+        self.data, self.to_root, self.flat, self.sure, self.cut = data, (lambda s, e: place) if flat else to_root, flat, sure, cut
+        self.place = place or (to_root(0, len(data)) if len(data) else (0, 0))
 
 
 class Pieces:
-    """Offsets of a text in which escapes were replaced: runs of characters, each `width` wide, `stride` apart."""
+    """Offsets of bytes in which escapes were replaced: runs of bytes, each `width` wide, `stride` apart."""
 
     def __init__(self) -> None:
-        self.text: list[str] = []
         self.at: list[int] = []
         self.source: list[tuple[int, int, int]] = []
         self.length = 0
 
-    def add(self, text: str, source: int, stride: int, width: int) -> None:
-        if text:
-            self.text.append(text)
-            self.at.append(self.length)
-            self.source.append((source, stride, width))
-            self.length += len(text)
+    def add(self, length: int, source: int, stride: int, width: int) -> None:
+        if length:
+            if not (stride and self.at and self.source[-1][1:] == (stride, width) and self.source[-1][0] + (self.length - self.at[-1]) * stride == source):
+                self.at.append(self.length)
+                self.source.append((source, stride, width))
+            self.length += length
 
     def to_source(self, start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
@@ -94,136 +123,207 @@ class Pieces:
         return s + (start - self.at[i]) * stride, t + (end - 1 - self.at[j]) * step + width
 
 
-def _readable(raw: bytes) -> str | None:
+class Spool:
+    """Bytes that are written piece by piece; what goes beyond `most` is left out."""
+
+    def __init__(self, most: int | None):
+        self.most, self.parts, self.size, self.over = most, [], 0, False
+
+    def write(self, piece: bytes) -> None:
+        if self.most is not None and self.size + len(piece) > self.most:
+            piece, self.over = piece[: self.most - self.size], True
+        self.parts.append(piece)
+        self.size += len(piece)
+
+    def done(self) -> bytes:
+        return b"".join(self.parts)
+
+
+def _readable(data) -> bool:
+    """Whether the bytes, or the first 64 KB of them, are UTF-8 and nearly all printable."""
     try:
-        text = raw.decode()
+        text = codecs.getincrementaldecoder("utf-8")().decode(data[: 1 << 16], len(data) <= 1 << 16)
     except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) else None
+        return False
+    return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
 
 
-def _expand(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    """The content of a compressed stream, `most` bytes at most, and whether there is more; None if it isn't one."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-            return d.decompress(raw, most), bool(d.unconsumed_tail)
-        if raw[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            return b.decompress(raw, most), not b.eof and not b.needs_input
-        if raw[:6] == b"\xfd7zXZ\x00":
-            x = lzma.LZMADecompressor(memlimit=256 << 20)
-            return x.decompress(raw, most), not x.eof and not x.needs_input
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=128 << 20).stream_reader(io.BytesIO(raw)) as r:
-                got = r.read(most)
-                return got, bool(r.read(1))
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    except Exception as e:  # zstandard's own error class, which is there only if the library is
-        if type(e).__module__.split(".")[0] in ("zstandard", "zstd", "backend_c"):
-            return None
-        raise
-    return None
+class _Zstd:
+    """One zstd frame; input comes in pieces so small that what they expand to is bounded."""
 
+    def __init__(self) -> None:
+        import zstandard
+
+        self.d = zstandard.ZstdDecompressor(max_window_size=128 << 20).decompressobj()
+        self.error, self.needs_input = zstandard.ZstdError, True
+
+    def decompress(self, piece: bytes, most: int) -> bytes:
+        try:
+            return self.d.decompress(piece)
+        except self.error as e:
+            raise ValueError from e
 
-def _content(raw: bytes, most: int) -> tuple[str, bool, bool] | None:
-    """Text of decoded bytes, whether its offsets are those of the bytes' characters, and whether it was cut."""
-    if got := _expand(raw, most):
-        data, cut = got
-        text = _readable(data)
-        return (text if text is not None else data.decode("latin-1"), False, cut) if data else None
-    text = _readable(raw)
-    return (text, True, False) if text else None
+    eof = property(lambda self: self.d.eof)
+    unused_data = property(lambda self: self.d.unused_data)
 
 
-def _escapes(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
+def _decoder(head: bytes):
+    """A decompressor for the stream that begins so, and how many bytes it is fed at once."""
+    if not MAGIC.match(head):
+        return None
+    if head[:1] in b"\x78\x1f":
+        return zlib.decompressobj(47), 1 << 16
+    if head[:1] == b"B":
+        return bz2.BZ2Decompressor(), 1 << 16
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor(memlimit=256 << 20), 1 << 16
+    return _Zstd(), 256
+
+
+def _inflated(data, at: int, step: int, d) -> Iterator[tuple[bytes, int]]:
+    """The stream's content and how far it was read for it; returns where the stream ends, or None if it is broken off."""
+    pos = at
+    while not d.eof and pos < len(data):
+        piece = data[pos : pos + step]
+        pos += len(piece)
+        yield d.decompress(piece, PIECE), pos
+        while not d.eof and (d.unconsumed_tail if hasattr(d, "unconsumed_tail") else not d.needs_input):
+            yield d.decompress(getattr(d, "unconsumed_tail", b""), PIECE), pos
+    if not d.eof and hasattr(d, "flush"):
+        yield d.flush(), pos
+    return pos - len(d.unused_data) if d.eof else None
+
+
+def _expand(data, at: int, most: int) -> tuple[Spool, int, int]:
+    """The content of the compressed streams that follow each other from `at`, the end of the last whole one, and of what was read."""
+    out, end, reach = Spool(most), at, at
+    while not out.over and (got := _decoder(data[end : end + 16])):
+        had, stop = 0, None
+        for step in (got[1], 1):  # where a stream breaks, again byte by byte for what is before the break
+            content, skip = _inflated(data, end, step, got[0]), had
+            try:
+                while not out.over:
+                    piece, reach = next(content)
+                    out.write(piece[skip:])
+                    had += len(piece[skip:])
+                    skip -= min(skip, len(piece))
+                break
+            except StopIteration as e:
+                stop = e.value
+                break
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+                got = _decoder(data[end : end + 16])
+        if stop is None:
+            break
+        end = reach = stop
+        while data[end : end + 1] == b"\0":  # padding between members
+            end += 1
+    return out, end, max(end, reach)
+
+
+def _streams(layer: Layer, most: int) -> Iterator[Layer]:
+    """Layers of compressed streams, wherever they begin."""
+    data, at = layer.data, 0
+    while m := MAGIC.search(data, at):
+        out, end, stop = _expand(data, m.start(), most)
+        stop = len(data) if out.over else stop
+        if out.size:
+            content = out.done()
+            place = layer.place if (m.start(), stop) == (0, len(data)) else layer.to_root(m.start(), stop)
+            yield Layer(content, layer.to_root, place, flat=True, sure=end > m.start() or out.over or _readable(content), cut=out.over)
+        at = max(end, m.start() + 2)
+
+
+def _code(unit: bytes) -> int:
+    """Code point of a Unicode escape."""
+    if len(unit) == 12 and unit[:2] == b"\\u":
+        return 0x10000 + ((int(unit[2:6], 16) & 0x3FF) << 10) + (int(unit[8:], 16) & 0x3FF)
+    return int(unit[3:-1], 16) if unit[:3] in (b"&#x", b"&#X") else int(unit[2:-1]) if unit[:1] == b"&" else int(unit[2:], 16)
+
+
+def _character(n: int) -> bytes:
+    return (chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "�").encode()
+
+
+def _byte(unit: bytes) -> bytes:
+    if len(unit) == 2:
+        return bytes([SHORT.get(unit[1], unit[1])])
+    n = _code(unit)
+    return bytes([n]) if n < 256 else _character(n)
+
+
+def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], bytes], sure: bool = True) -> Layer:
+    """The layer with each match replaced."""
+    data, out, p, last = layer.data, Spool(None), None if layer.flat else Pieces(), 0
+
+    def copy(start: int, end: int) -> None:
+        for k in range(start, end, PIECE):
+            out.write(data[k : min(k + PIECE, end)])
+        if p is not None:
+            p.add(end - start, start, 1, 1)
+
+    for m in pattern.finditer(data):
+        copy(last, m.start())
+        last = m.end()
+        got = decode(m)
+        out.write(got)
+        if p is not None:
+            p.add(len(got), m.start(), 3 if len(got) == 1 and last - m.start() == 3 else 0, last - m.start())
+    copy(last, len(data))
+    return Layer(out.done(), (lambda s, e: layer.to_root(*p.to_source(s, e))), layer.place if layer.flat else None, layer.flat, sure)
+
+
+def _escapes(layer: Layer, most: int) -> Iterator[Layer]:
     """Layers of percent and of Unicode escapes."""
-    text = layer.text
-    if "%" in text and URL.search(text):
-        p, last = Pieces(), 0
-        for m in URL.finditer(text):
-            p.add(text[last : m.start()], last, 1, 1)
-            last = m.end()
-            units = [(u.start(), u.end(), u[1]) for u in URL_UNIT.finditer(text, *m.span())]
-            raw = bytes.fromhex("".join(h for *_, h in units))
-            if raw.isascii() and len(units) * 3 == len(m[0]):
-                p.add(raw.decode(), m.start(), 3, 3)
-                continue
-            if (got := _expand(raw, most)) and got[0]:
-                yield Layer(_readable(got[0]) or got[0].decode("latin-1"), lambda s, e, a=m.start(), b=m.end(): layer.to_root(a, b)), got[1]
-            k = 0
-            for c in raw.decode(errors="surrogateescape"):
-                odd = "\udc80" <= c <= "\udcff"
-                size = 1 if odd else len(c.encode())
-                p.add("\ufffd" if odd else c, units[k][0], 0, units[k + size - 1][1] - units[k][0])
-                k += size
-        p.add(text[last:], last, 1, 1)
-        yield Layer("".join(p.text), lambda s, e, p=p: layer.to_root(*p.to_source(s, e))), False
-    if ("\\" in text or "&#" in text) and UNICODE.search(text):
-        p, last = Pieces(), 0
-        for m in UNICODE.finditer(text):
-            p.add(text[last : m.start()], last, 1, 1)
-            code = m[0]
-            if len(code) == 12 and code[:2] == "\\u":
-                char = chr(0x10000 + ((int(code[2:6], 16) & 0x3FF) << 10) + (int(code[8:], 16) & 0x3FF))
-            else:
-                n = int(code[3:-1], 16) if code[:3] in ("&#x", "&#X") else int(code[2:-1]) if code[0] == "&" else int(code[2:], 16)
-                char = chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "�"
-            p.add(char, m.start(), 0, len(code))
-            last = m.end()
-        p.add(text[last:], last, 1, 1)
-        yield Layer("".join(p.text), lambda s, e, p=p: layer.to_root(*p.to_source(s, e))), False
-
-
-def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    if URL.search(layer.data):
+        yield _replaced(layer, URL, lambda m: bytes.fromhex(m[1].decode()))
+    if UNICODE.search(layer.data):
+        yield _replaced(layer, UNICODE, lambda m: _character(_code(m[0])))
+        if any(0x80 <= _code(m[0]) < 0x100 for m in UNICODE.finditer(layer.data)):  # they may be the bytes of a stream
+            child = _replaced(layer, BYTES, lambda m: _byte(m[0]), sure=False)
+            if MAGIC.search(child.data):
+                yield child
+
+
+def _base64(layer: Layer, most: int) -> Iterator[Layer]:
+    for m in BASE64.finditer(layer.data):
+        run = m[0].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
         if len(run) % 4 == 1:
             continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        if not (got := _content(raw, most)):
-            continue
-        text, plain, cut = got
-        a, b = m.span()
-        if not plain:
-            yield Layer(text, lambda s, e, a=a, b=b: layer.to_root(a, b)), cut
-            continue
+        raw = binascii.a2b_base64(run + b"=" * (-len(run) % 4))
+        sure = _readable(raw)
+        if sure or MAGIC.search(raw):
+
+            def of(s: int, e: int, a: int = m.start()) -> tuple[int, int]:
+                return layer.to_root(a + s // 3 * 4 + s % 3, a + (e - 1) // 3 * 4 + (e - 1) % 3 + 2)
+
+            yield Layer(raw, of, layer.to_root(*m.span()), layer.flat, sure)
 
-        def of(s: int, e: int, a: int = a, text: str = text) -> tuple[int, int]:
-            i, j = (s, e) if text.isascii() else (len(text[:s].encode()), len(text[:e].encode()))
-            return layer.to_root(a + i // 3 * 4 + i % 3, a + (j - 1) // 3 * 4 + (j - 1) % 3 + 2)
 
-        yield Layer(text, of), cut
+def _children(layer: Layer, most: int, top: bool = False) -> Iterator[Layer]:
+    for unwrap in (_escapes, _base64) if top else (_streams, _escapes, _base64):
+        yield from unwrap(layer, most)
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, the number of layers unwrapped, and how many of them were cut."""
-    base = scan(text)
-    every, cuts = set(base), 0
-    seen, work = {(hashlib.sha256(text.encode(errors="surrogatepass")).digest(), 0, len(text))}, [Layer(text, lambda s, e: (s, e))]
+    root = Layer(raw := text.encode(errors="surrogatepass"), _characters(raw))
+    base = sorted((a, kind, b) for s, kind, e in _scan(raw) for a, b in [root.to_root(s, e)])
+    every, layers, cuts = set(base), 0, 0
+    seen, work = {(hashlib.sha256(raw).digest(), *root.place)}, [_children(root, max_layer, top=True)]
     while work:
-        layer = work.pop()
-        for unwrap in (_escapes, _base64):
-            for child, cut in unwrap(layer, max_layer):
-                if not child.text:
-                    continue
-                cuts += cut
-                key = (hashlib.sha256(child.text.encode(errors="surrogatepass")).digest(), *child.to_root(0, len(child.text)))
-                if key not in seen:
-                    seen.add(key)
-                    work.append(child)
-                    for s, kind, e in scan(child.text):
-                        a, b = child.to_root(s, e)
-                        every.add((a, kind, b))
-    return base, sorted(every), len(seen) - 1, cuts
+        if (child := next(work[-1], None)) is None:
+            work.pop()
+        elif len(child.data):
+            cuts += child.cut
+            key = (hashlib.sha256(child.data).digest(), *child.place)
+            if key not in seen:
+                seen.add(key)
+                found = {(a, kind, b) for s, kind, e in _scan(child.data) for a, b in [child.to_root(s, e)]}
+                every |= found
+                layers += child.sure or bool(found)
+                work.append(_children(child, max_layer))
+    return base, sorted(every), layers, cuts
 
 
 def joined(spans: list[Span], kinds: tuple[str, ...] = KINDS) -> str:

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import urllib.parse
 import zlib
 
@@ -90,3 +91,26 @@ def test_redaction(spark):
     assert "[SECRET]" in by[7001].text and secrets.find(by[7001].text)[1] == []
     for i, text, *_ in rows[:-2]:
         assert i is None or by[i].text == text
+
+
+def test_streams_are_unwrapped_to_a_fixpoint():
+    raw, other = KEY.encode(), b"nothing to see here\n" * 5
+    zstd = zstandard.ZstdCompressor().compress
+    streams = {
+        "bz2 in gzip": gzip.compress(bz2.compress(raw)),
+        "gzip in gzip": gzip.compress(gzip.compress(raw)),
+        "stream within a stream": gzip.compress(b"\0\1member" + zlib.compress(raw) + b"\2\3"),
+        "gzip members": gzip.compress(other) + gzip.compress(raw),
+        "a secret over a border": gzip.compress(other + raw[:20]) + gzip.compress(raw[20:]),
+        "bz2 streams": bz2.compress(other) + bz2.compress(raw),
+        "xz streams": lzma.compress(other) + b"\0" * 4 + lzma.compress(raw),
+        "zstd frames": zstd(other) + zstd(raw),
+        "a broken end": gzip.compress(other * 50 + raw + bytes(range(256)) * 20)[:-9],
+    }
+    for name, coded in streams.items():
+        ways = [base64.b64encode(coded).decode(), urllib.parse.quote(coded), "".join(f"\\x{b:02x}" for b in coded), "".join(f"\\u{b:04x}" for b in coded), repr(coded)]
+        for k, way in enumerate(ways):
+            text = f"é some words {way} more words"
+            spans = secrets.find(text)[1]
+            assert {kind for _, kind, _ in spans} == {0, 2}, (name, k)
+            assert all(13 <= s < e <= 13 + len(way) + (9 if "broken" in name else 0) for s, _, e in spans), (name, k)
