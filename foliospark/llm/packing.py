@@ -4,7 +4,8 @@ Documents are tokenised once; only pieces' lengths, places and checksums (a few
 to the shared folder. Pieces of full length are sequences of their own. The others are dealt by hash into shards of about
 SHARD pieces; each shard starts from best-fit decreasing and is then improved by local search: the emptiest bin's
 documents are moved to other bins, exchanged one-for-one, or two-for-one for a smaller document or pair's sum, each step
-increasing the sum of squared fills, until bins empty. A shard can't lose more than a few bins to its boundary.
+increasing the sum of squared fills, until no underfull bin has such a step. Then the shards' leftover underfull bins are
+dealt anew, the emptiest together, into groups of about SHARD pieces, and searched once more from where they stand.
 
 Defined cases: null text is empty and has the one closing token; repeated rows are packed one by one; an empty table
 gives an empty result; further columns are ignored. Ties between bins go to the first.
@@ -26,8 +27,6 @@ from foliospark.llm.common import bounded_batches, materialize, pick, read_table
 
 CAPACITY = 2048
 SHARD = 10_000
-#: Effort of the local search: emptiest bins that give in a pass, and a bin's largest documents that are paired.
-DONORS, PAIRED = 1024, 16
 #: UTF-8 bytes of ASCII and of the code points up to U+023F, whose classes no Unicode version changes.
 _SETTLED = bytes([*range(0x80), *range(0x80, 0xC0), *range(0xC2, 0xC9)])
 
@@ -115,20 +114,22 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Fewer or as many bins, none over capacity.
 
-    The emptiest bins give: a document that fits elsewhere moves; else one document, or two together, are exchanged for
+    The emptiest bin gives: a document that fits elsewhere moves; else one document, or two together, are exchanged for
     a smaller one of a fuller bin with room for the difference. Every step raises the sum of squared fills, a bounded
-    integer, and passes go on while they empty bins, so the search ends; it also ends at the fewest bins that the total
-    allows.
+    integer, so the search ends: when no underfull bin has an improving step, or at the fewest bins that the total allows.
     """
     bins = [list(b) for b in bins]
-    n = len(lengths)
-    place = np.empty(n, np.int64)
+    n_items = len(lengths)
+    place = np.empty(n_items, np.int64)
     for b, items in enumerate(bins):
         place[items] = b
     fill = np.array([lengths[b].sum() for b in bins], np.int64)
     alive = np.ones(len(bins), bool)
     least = -(-int(lengths.sum()) // capacity)
 
+    changes: list[int] = []  # bins in the order in which they changed
+    looked = np.full(len(bins), -1, np.int64)  # how many changes there were when a bin last had no improving step
+
     def put(item: int, b: int) -> None:
         a = place[item]
         bins[a].remove(item)
@@ -136,59 +137,82 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
         place[item] = b
         fill[a] -= lengths[item]
         fill[b] += lengths[item]
+        looked[[a, b]] = -1
+        changes.extend((int(a), b))
 
     def step(a: int) -> bool:
-        """One improving step that takes from bin a, the largest of its kind: a move, else a swap for one, else for two."""
-        gap = capacity - fill
-        open_ = alive & (fill >= fill[a]) & (gap > 0)
-        open_[a] = False
-        if not open_.any():
+        """One improving step that takes from bin a, the largest of its kind: a move, else a swap for one, else for two.
+
+        If bin a has had none and is as it was, only bins that have changed since can give it one.
+        """
+        recent = changes[looked[a] :] if looked[a] >= 0 else None
+        if recent is None or len(recent) > len(bins) // 4:
+            near = np.nonzero(alive & (fill >= fill[a]) & (fill < capacity))[0]
+            recent = None
+        else:
+            near = np.array([b for b in set(recent) if alive[b] and fill[a] <= fill[b] < capacity], np.int64)
+        near = near[near != a]
+        if not len(near):
             return False
-        own = sorted(bins[a], key=lambda i: -lengths[i])
-        for i in own:
-            if lengths[i] <= gap[open_].max():
-                fits = np.nonzero(open_ & (gap >= lengths[i]))[0]
-                put(i, int(fits[np.argmin(gap[fits])]))
+        gap = capacity - fill[near]
+        own = sorted({int(lengths[i]): i for i in bins[a]}.items(), reverse=True)  # one document of each length
+        most = gap.max()
+        for n, i in own:
+            if n <= most:
+                fits = np.nonzero(gap >= n)[0]
+                put(i, int(near[fits[np.argmin(gap[fits])]]))
                 return True
         # the most room beside any document of each length: then all exchanges are compared at once
-        room = np.where(open_, gap, 0)[place]
+        if recent is None:
+            room = np.zeros(len(bins), np.int64)
+            room[near] = gap
+            items = np.arange(n_items)
+            room = room[place]
+        else:
+            items = np.array([i for b in near.tolist() for i in bins[b]], np.int64)
+            room = capacity - fill[place[items]]
         best = np.zeros(capacity + 1, np.int64)
-        np.maximum.at(best, lengths, room)
+        np.maximum.at(best, lengths[items], room)
         takes = np.nonzero(best)[0]
-        pairs = [(i, j) for k, i in enumerate(own[:PAIRED]) for j in own[k + 1 : PAIRED]]
-        for gives in ([(i,) for i in own], pairs):
-            if not gives or not len(takes):
+        many = {n for n, i in own if sum(lengths[j] == n for j in bins[a]) > 1}
+        for two in (False, True):
+            sums = {n + m: (n, m) for k, (n, _) in enumerate(own) for m, _ in own[k:] if m != n or n in many} if two else {n: (n,) for n, _ in own}
+            if not sums:
                 continue
-            gain = np.array([sum(lengths[i] for i in g) for g in gives])[:, None] - takes
+            gives = np.array(list(sums))
+            gain = gives[:, None] - takes
             gain[(gain <= 0) | (gain > best[takes])] = 0
             at = int(gain.argmax())
             if gain.flat[at]:
-                give, take = gives[at // len(takes)], takes[at % len(takes)]
-                j = int(np.argmax(np.where(lengths == take, room, 0)))
+                take = takes[at % len(takes)]
+                j = int(items[np.argmax(np.where(lengths[items] == take, room, 0))])
                 b = int(place[j])
+                given = []
+                for n in sums[int(gives[at // len(takes)])]:
+                    given.append(next(i for i in bins[a] if lengths[i] == n and i not in given))
                 put(j, a)
-                for i in give:
+                for i in given:
                     put(i, b)
                 return True
+        looked[a] = len(changes)
         return False
 
-    emptied = True
-    while emptied and alive.sum() > least:
-        emptied = False
+    improved = True
+    while improved and alive.sum() > least:
+        improved = False
         giving = np.nonzero(alive & (fill < capacity))[0]
-        for a in giving[np.argsort(fill[giving], kind="stable")][:DONORS].tolist():
+        for a in giving[np.argsort(fill[giving], kind="stable")].tolist():
             while bins[a] and step(a):
-                pass
+                improved = True
             if not bins[a]:
-                alive[a], emptied = False, True
+                alive[a] = False
                 if alive.sum() == least:
                     break
     return [items for b, items in enumerate(bins) if alive[b]]
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def placed(lengths: np.ndarray, bins: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item."""
-    bins = local_search(lengths, best_fit_decreasing(lengths, capacity), capacity)
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for b, items in enumerate(bins):
         where[items] = b
@@ -196,6 +220,11 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return where, offset
 
 
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item."""
+    return placed(lengths, local_search(lengths, best_fit_decreasing(lengths, capacity), capacity))
+
+
 def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces' rows with sequence_id and offset. Full pieces have non-negative ids, packed bins negative ones."""
     rows = materialize(cut_pieces.withColumn("rid_", F.monotonically_increasing_id()), "pieces")
@@ -210,7 +239,40 @@ def pack_pieces(cut_pieces: DataFrame, capacity: int = CAPACITY, shard: int = SH
         return pdf.assign(sequence_id=-1 - (pdf["shard_"].to_numpy(np.int64) << 32) - where, offset=offset)[[*columns, "sequence_id", "offset"]]
 
     dealt = rest.withColumn("shard_", F.pmod(F.xxhash64("rid_"), F.lit(shards)))
-    return full.unionByName(dealt.groupBy("shard_").applyInPandas(fill, full.schema))
+    packed = dealt.groupBy("shard_").applyInPandas(fill, full.schema)
+    return full.unionByName(packed if shards == 1 else repack(materialize(packed, "packed"), capacity, shard))
+
+
+def repack(packed: DataFrame, capacity: int, shard: int) -> DataFrame:
+    """The packed pieces after a local search over the underfull bins of all shards, which keep their ids."""
+    bins = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill_"), F.count("*").alias("n_")).filter(F.col("fill_") < capacity)
+    bins = materialize(bins, "bins")
+    # groups take ranges of fills, one row for each fill; a fill with many pieces has parts of its own
+    first, parts, at, pieces_ = [], [], 0, 0
+    for fill_, n in sorted((x["fill_"], x["n"]) for x in bins.groupBy("fill_").agg(F.sum("n_").alias("n")).collect()):
+        own = max(1, -(-n // shard))
+        if pieces_ and pieces_ + n > shard:
+            at, pieces_ = at + 1, 0
+        first.append((fill_, at, own))
+        at, pieces_ = (at + own, 0) if own > 1 else (at, pieces_ + n)
+    if not first:
+        return packed
+    groups = packed.sparkSession.createDataFrame(first, "fill_ bigint, at_ bigint, parts_ bigint")
+    bins = bins.join(F.broadcast(groups), "fill_").select(F.col("sequence_id").alias("bin_"), (F.col("at_") + F.pmod(F.xxhash64("sequence_id"), F.col("parts_"))).alias("group_"))
+    columns = packed.columns
+    both = packed.join(bins, packed["sequence_id"] == bins["bin_"], "left")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sequence_id", "offset"], ignore_index=True)
+        lengths, ids = pdf["length"].to_numpy(np.int64), pdf["sequence_id"].to_numpy(np.int64)
+        at = np.unique(ids, return_index=True)[1].tolist()
+        found = local_search(lengths, [list(range(a, b)) for a, b in zip(at, [*at[1:], len(ids)])], capacity)
+        where, offset = placed(lengths, found)
+        names = ids[at[: len(found)]]
+        return pdf.assign(sequence_id=names[where], offset=offset)[columns]
+
+    kept = both.filter(F.col("group_").isNull()).select(*columns)
+    return kept.unionByName(both.filter(F.col("group_").isNotNull()).select(*columns, "group_").groupBy("group_").applyInPandas(search, packed.schema))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

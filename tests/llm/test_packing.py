@@ -106,3 +106,38 @@ def test_local_search_against_exhaustive_search():
 
 def test_cut():
     assert packing.cut(5, 2) == [(0, 1), (1, 2), (3, 2)] and packing.cut(4, 2) == [(0, 2), (2, 2)] and packing.cut(1, 2) == [(0, 1)]
+
+
+def improves(lengths, bins, capacity):
+    """Whether some bin has a step that raises the sum of squared fills, by trying them all."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, own in enumerate(bins):
+        gives = {int(lengths[i]) for i in own} | {int(lengths[i] + lengths[j]) for k, i in enumerate(own) for j in own[k + 1 :]}
+        for b, other in enumerate(bins):
+            if a != b and fill[a] <= fill[b] < capacity:
+                if any(lengths[i] + fill[b] <= capacity for i in own) or any(0 < g - lengths[j] <= capacity - fill[b] for g in gives for j in other):
+                    return True
+    return False
+
+
+def test_local_search_ends_where_no_step_improves():
+    r = np.random.default_rng(5)
+    for low, high, n, capacity in ((600, 800, 300, 2048), (30, 60, 400, 2048), (500, 1100, 300, 2048), (300, 420, 200, 1000)):
+        for _ in range(3):
+            lengths = r.integers(low, high, n)
+            bins = packing.local_search(lengths, packing.best_fit_decreasing(lengths, capacity), capacity)
+            assert len(bins) == -(-lengths.sum() // capacity) or not improves(lengths, bins, capacity)
+
+
+def test_leftover_bins_of_all_shards_are_searched(spark):
+    rows = [(i, 0, 0, 60, i) for i in range(400)] + [(1000 + i, 0, 0, 35 + i % 8, i) for i in range(405)]
+    df = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(4)
+    out = packing.pack_pieces(df, 100, 20).collect()
+    assert sorted(r[:5] for r in out) == sorted(rows)
+    by = defaultdict(list)
+    for x in out:
+        by[x.sequence_id].append((x.offset, x.length))
+    for places in by.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 100
+    fills = sorted(sum(n for _, n in places) for places in by.values())
+    assert fills[0] + fills[1] > 100  # no shard has left a bin that another's could take
