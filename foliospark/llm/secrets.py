@@ -8,8 +8,9 @@ layer. Each layer maps its offsets to its parent's, so findings are reported as
 a compressed stream stands for the stream's whole place. n_layers counts layers that are readable, decompressed or hold
 a finding.
 
-Memory: one text at a time and the layers on the way to the one at work. At most `max_layer` bytes of any decompressed
-stream are scanned, and n_cut counts the longer ones.
+Memory: one text at a time and the layers on the way to the one at work. A layer of more than `max_layer` bytes goes to a
+temporary file of the executor, is mapped from there and scanned to its end; n_cut counts the streams that are so long.
+Where the disk can't take one the task fails: nothing is left out.
 
 Defined cases: null text is empty; repeated rows are scanned one by one; an empty table gives an empty result; further
 columns are ignored by the report and kept by the redaction.
@@ -22,7 +23,9 @@ import bz2
 import codecs
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -124,19 +127,25 @@ class Pieces:
 
 
 class Spool:
-    """Bytes that are written piece by piece; what goes beyond `most` is left out."""
+    """Bytes that are written piece by piece, beyond `most` of them to a temporary file."""
 
-    def __init__(self, most: int | None):
-        self.most, self.parts, self.size, self.over = most, [], 0, False
+    def __init__(self, most: int):
+        self.most, self.parts, self.size, self.file = most, [], 0, None
 
     def write(self, piece: bytes) -> None:
-        if self.most is not None and self.size + len(piece) > self.most:
-            piece, self.over = piece[: self.most - self.size], True
-        self.parts.append(piece)
         self.size += len(piece)
+        self.parts.append(piece)
+        if self.size > self.most:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.writelines(self.parts)
+            self.parts = []
 
-    def done(self) -> bytes:
-        return b"".join(self.parts)
+    def done(self) -> bytes | mmap.mmap:
+        if not self.file:
+            return b"".join(self.parts)
+        with self.file:
+            self.file.flush()
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 def _readable(data) -> bool:
@@ -197,21 +206,22 @@ def _inflated(data, at: int, step: int, d) -> Iterator[tuple[bytes, int]]:
 def _expand(data, at: int, most: int) -> tuple[Spool, int, int]:
     """The content of the compressed streams that follow each other from `at`, the end of the last whole one, and of what was read."""
     out, end, reach = Spool(most), at, at
-    while not out.over and (got := _decoder(data[end : end + 16])):
+    while got := _decoder(data[end : end + 16]):
         had, stop = 0, None
         for step in (got[1], 1):  # where a stream breaks, again byte by byte for what is before the break
             content, skip = _inflated(data, end, step, got[0]), had
             try:
-                while not out.over:
+                while True:
                     piece, reach = next(content)
                     out.write(piece[skip:])
                     had += len(piece[skip:])
                     skip -= min(skip, len(piece))
-                break
             except StopIteration as e:
                 stop = e.value
                 break
-            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError) as e:
+                if isinstance(e, OSError) and e.errno:  # not of bz2 but of the temporary file
+                    raise
                 got = _decoder(data[end : end + 16])
         if stop is None:
             break
@@ -226,11 +236,10 @@ def _streams(layer: Layer, most: int) -> Iterator[Layer]:
     data, at = layer.data, 0
     while m := MAGIC.search(data, at):
         out, end, stop = _expand(data, m.start(), most)
-        stop = len(data) if out.over else stop
         if out.size:
             content = out.done()
             place = layer.place if (m.start(), stop) == (0, len(data)) else layer.to_root(m.start(), stop)
-            yield Layer(content, layer.to_root, place, flat=True, sure=end > m.start() or out.over or _readable(content), cut=out.over)
+            yield Layer(content, layer.to_root, place, flat=True, sure=end > m.start() or _readable(content), cut=out.file is not None)
         at = max(end, m.start() + 2)
 
 
@@ -252,9 +261,9 @@ def _byte(unit: bytes) -> bytes:
     return bytes([n]) if n < 256 else _character(n)
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], bytes], sure: bool = True) -> Layer:
+def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], bytes], most: int, sure: bool = True) -> Layer:
     """The layer with each match replaced."""
-    data, out, p, last = layer.data, Spool(None), None if layer.flat else Pieces(), 0
+    data, out, p, last = layer.data, Spool(most), None if layer.flat else Pieces(), 0
 
     def copy(start: int, end: int) -> None:
         for k in range(start, end, PIECE):
@@ -276,28 +285,38 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], by
 def _escapes(layer: Layer, most: int) -> Iterator[Layer]:
     """Layers of percent and of Unicode escapes."""
     if URL.search(layer.data):
-        yield _replaced(layer, URL, lambda m: bytes.fromhex(m[1].decode()))
+        yield _replaced(layer, URL, lambda m: bytes.fromhex(m[1].decode()), most)
     if UNICODE.search(layer.data):
-        yield _replaced(layer, UNICODE, lambda m: _character(_code(m[0])))
+        yield _replaced(layer, UNICODE, lambda m: _character(_code(m[0])), most)
         if any(0x80 <= _code(m[0]) < 0x100 for m in UNICODE.finditer(layer.data)):  # they may be the bytes of a stream
-            child = _replaced(layer, BYTES, lambda m: _byte(m[0]), sure=False)
+            child = _replaced(layer, BYTES, lambda m: _byte(m[0]), most, sure=False)
             if MAGIC.search(child.data):
                 yield child
 
 
+def _decoded(data, start: int, end: int, most: int) -> bytes | mmap.mmap:
+    """What the base64 digits between the offsets stand for."""
+    out = Spool(most)
+    for k in range(start, end, PIECE):
+        run = data[k : min(k + PIECE, end)].replace(b"-", b"+").replace(b"_", b"/")
+        out.write(binascii.a2b_base64(run + b"=" * (-len(run) % 4)))
+    return out.done()
+
+
 def _base64(layer: Layer, most: int) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.data):
-        run = m[0].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-        if len(run) % 4 == 1:
+        a, b = m.span()
+        end = b - layer.data[max(a, b - 2) : b].count(b"=")
+        if (end - a) % 4 == 1:
             continue
-        raw = binascii.a2b_base64(run + b"=" * (-len(run) % 4))
+        raw = _decoded(layer.data, a, end, most)
         sure = _readable(raw)
         if sure or MAGIC.search(raw):
 
-            def of(s: int, e: int, a: int = m.start()) -> tuple[int, int]:
+            def of(s: int, e: int, a: int = a) -> tuple[int, int]:
                 return layer.to_root(a + s // 3 * 4 + s % 3, a + (e - 1) // 3 * 4 + (e - 1) % 3 + 2)
 
-            yield Layer(raw, of, layer.to_root(*m.span()), layer.flat, sure)
+            yield Layer(raw, of, layer.to_root(a, b), layer.flat, sure)
 
 
 def _children(layer: Layer, most: int, top: bool = False) -> Iterator[Layer]:
@@ -306,7 +325,7 @@ def _children(layer: Layer, most: int, top: bool = False) -> Iterator[Layer]:
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans, the number of layers unwrapped, and how many of them were cut."""
+    """Base spans, all spans, the number of layers unwrapped, and how many streams were longer than max_layer."""
     root = Layer(raw := text.encode(errors="surrogatepass"), _characters(raw))
     base = sorted((a, kind, b) for s, kind, e in _scan(raw) for a, b in [root.to_root(s, e)])
     every, layers, cuts = set(base), 0, 0

@@ -114,3 +114,13 @@ def test_streams_are_unwrapped_to_a_fixpoint():
             spans = secrets.find(text)[1]
             assert {kind for _, kind, _ in spans} == {0, 2}, (name, k)
             assert all(13 <= s < e <= 13 + len(way) + (9 if "broken" in name else 0) for s, _, e in spans), (name, k)
+
+
+def test_long_streams_are_scanned_to_their_ends():
+    filler, raw = b"a b " * 100_000, KEY.encode()
+    for coded in (zlib.compress(filler + raw), bz2.compress(filler + raw), gzip.compress(filler) + gzip.compress(raw), gzip.compress(zlib.compress(filler * 2 + raw)),
+                  gzip.compress(filler + base64.b64encode(filler + raw)), zlib.compress("".join(f"%{b:02x}" for b in filler + raw).encode())):
+        text = "see " + base64.b64encode(coded).decode()
+        _, every, _, cuts = secrets.find(text, max_layer=100_000)
+        assert {(s, k) for s, k, _ in every} == {(4, 0), (4, 2)} and cuts
+        assert secrets.find(text)[:2] == ([], every) and secrets.find(text)[3] == 0
