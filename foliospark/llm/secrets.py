@@ -4,7 +4,9 @@ A text is scanned for three kinds of secrets. Then nested layers are unwrapped:
 runs and compressed streams. Every layer is kept as bytes, goes to a worklist, is scanned like the text itself and
 unwrapped further by every decoder until nothing new appears; a layer with the same content for the same place has been
 seen (cycle detection). A stream may begin anywhere in decoded bytes; members or frames that follow each other are one
-layer. Each layer maps its offsets to its parent's, so findings are reported as spans of the original text; a finding in
+layer. Base64 runs go on over line breaks, with or without indentation, also escaped ones, and are decoded from each of
+their first four digits, since letters before them may belong to the run; bytes that are no UTF-8 are scanned as they are
+(ASCII in Latin-1 and other single-byte codes) and as UTF-16. Each layer maps its offsets to its parent's, so findings are reported as spans of the original text; a finding in
 a compressed stream stands for the stream's whole place. n_layers counts layers that are readable, decompressed or hold
 a finding.
 
@@ -48,7 +50,11 @@ UNICODE = re.compile(rb"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{
 #: The same where the escapes stand for bytes, with the short ones that byte strings are written with.
 BYTES = re.compile(UNICODE.pattern + rb"""|\\[abfnrtv0\\'"/]""")
 SHORT = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0"))
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAK = re.compile(rb"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: At least 16 digits, from the first of the run, and line breaks between them.
+BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-](?:(?:" + BREAK.pattern + rb")?[A-Za-z0-9+/_-]){15,}+={0,2}")
+#: ASCII in UTF-16, as long as the shortest secret or base64 run at least.
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){11}|(?:\0[\t\n\r\x20-\x7e]){11}")
 #: Where a zlib, gzip, bz2, xz or zstd stream may begin.
 MAGIC = re.compile(rb"\x78[\x01\x5e\x9c\xda]|\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 MAX_LAYER = 32 << 20
@@ -90,7 +96,7 @@ def may_matter(raw: bytes) -> bool:
     low = raw.lower()
     return (
         any(s in low for s in STEMS) or b"AKIA" in raw or b"h" * 24 in raw.translate(_HEX_RUN) or b"b" * 16 in raw.translate(_B64_RUN)
-        or b"%" in raw or b"\\u" in low or b"\\x" in raw or b"&#" in raw
+        or b"%" in raw or b"\\u" in low or b"\\x" in raw or b"&#" in raw or BASE64.search(raw) is not None
     )
 
 
@@ -102,6 +108,7 @@ class Layer:
 
     def __init__(self, data, to_root: Callable[[int, int], tuple[int, int]], place: tuple[int, int] | None = None, flat: bool = False, sure: bool = True, cut: bool = False):
         self.data, self.to_root, self.flat, self.sure, self.cut = data, (lambda s, e: place) if flat else to_root, flat, sure, cut
+        self.stream = False  # whether the whole layer has turned out to be streams with their checksums
         self.place = place or (to_root(0, len(data)) if len(data) else (0, 0))
 
 
@@ -236,6 +243,7 @@ def _streams(layer: Layer, most: int) -> Iterator[Layer]:
     data, at = layer.data, 0
     while m := MAGIC.search(data, at):
         out, end, stop = _expand(data, m.start(), most)
+        layer.stream |= m.start() == 0 and end == len(data)
         if out.size:
             content = out.done()
             place = layer.place if (m.start(), stop) == (0, len(data)) else layer.to_root(m.start(), stop)
@@ -294,33 +302,67 @@ def _escapes(layer: Layer, most: int) -> Iterator[Layer]:
                 yield child
 
 
-def _decoded(data, start: int, end: int, most: int) -> bytes | mmap.mmap:
-    """What the base64 digits between the offsets stand for."""
-    out = Spool(most)
-    for k in range(start, end, PIECE):
-        run = data[k : min(k + PIECE, end)].replace(b"-", b"+").replace(b"_", b"/")
-        out.write(binascii.a2b_base64(run + b"=" * (-len(run) % 4)))
+def _decoded(data, parts: list[tuple[int, int]], skip: int, most: int) -> bytes | mmap.mmap:
+    """What the base64 digits between the offsets stand for, but for the first few."""
+    out, rest, size = Spool(most), [], 0
+    for start, end in parts:
+        for k in range(start, end, PIECE):
+            piece = data[k : min(k + PIECE, end)]
+            left = min(skip, len(piece))
+            skip -= left
+            rest.append(piece[left:])
+            size += len(rest[-1])
+            if size >= PIECE:
+                run = b"".join(rest).replace(b"-", b"+").replace(b"_", b"/")
+                out.write(binascii.a2b_base64(run[: size // 4 * 4]))
+                rest = [run[size // 4 * 4 :]]
+                size = len(rest[0])
+    run = b"".join(rest).replace(b"-", b"+").replace(b"_", b"/")
+    run = run[:-1] if size % 4 == 1 else run
+    out.write(binascii.a2b_base64(run + b"=" * (-len(run) % 4)))
     return out.done()
 
 
 def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.data):
+    data = layer.data
+    for m in BASE64.finditer(data):
         a, b = m.span()
-        end = b - layer.data[max(a, b - 2) : b].count(b"=")
-        if (end - a) % 4 == 1:
-            continue
-        raw = _decoded(layer.data, a, end, most)
-        sure = _readable(raw)
-        if sure or MAGIC.search(raw):
-
-            def of(s: int, e: int, a: int = a) -> tuple[int, int]:
-                return layer.to_root(a + s // 3 * 4 + s % 3, a + (e - 1) // 3 * 4 + (e - 1) % 3 + 2)
-
-            yield Layer(raw, of, layer.to_root(a, b), layer.flat, sure)
+        end = b - data[max(a, b - 2) : b].count(b"=")
+        breaks = [x.span() for x in BREAK.finditer(data, a, end)]
+        parts = list(zip([a, *[y for _, y in breaks]], [*[x for x, _ in breaks], end]))
+        p = Pieces()
+        for x, y in parts:
+            p.add(y - x, x, 1, 1)
+        for skip in range(4):
+            raw = _decoded(data, parts, skip, most)
+            sure = _readable(raw)
+            if sure or isinstance(raw, mmap.mmap) or may_matter(raw) or MAGIC.search(raw) or WIDE.search(raw):
+
+                def of(s: int, e: int, p: Pieces = p, skip: int = skip) -> tuple[int, int]:
+                    return layer.to_root(*p.to_source(skip + s // 3 * 4 + s % 3, skip + (e - 1) // 3 * 4 + (e - 1) % 3 + 2))
+
+                yield (child := Layer(raw, of, layer.to_root(min(p.to_source(skip, skip + 1)[0], b - 1), b), layer.flat, sure))
+                if child.stream:  # the other alignments are noise; find() has unwrapped this one by now
+                    break
+
+
+def _wide(layer: Layer, most: int) -> Iterator[Layer]:
+    """Layers of the ASCII characters of UTF-16 in either byte order, others replaced."""
+    data = layer.data
+    if not WIDE.search(data):
+        return
+    for odd in (0, 1):
+        out = Spool(most)
+        for k in range(odd, len(data), PIECE):
+            piece = data[k : k + PIECE]
+            units = np.frombuffer(piece + b"\0" * (len(piece) % 2), "<u2")
+            out.write(np.where(units < 0x80, units, 0x7F).astype(np.uint8).tobytes())
+        if out.size:
+            yield Layer(out.done(), lambda s, e, odd=odd: layer.to_root(odd + 2 * s, min(odd + 2 * e, len(data))), layer.place if layer.flat else None, layer.flat, sure=False)
 
 
 def _children(layer: Layer, most: int, top: bool = False) -> Iterator[Layer]:
-    for unwrap in (_escapes, _base64) if top else (_streams, _escapes, _base64):
+    for unwrap in (_escapes, _base64) if top else (_streams, _escapes, _base64, _wide):
         yield from unwrap(layer, most)
 
 

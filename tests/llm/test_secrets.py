@@ -124,3 +124,20 @@ def test_long_streams_are_scanned_to_their_ends():
         _, every, _, cuts = secrets.find(text, max_layer=100_000)
         assert {(s, k) for s, k, _ in every} == {(4, 0), (4, 2)} and cuts
         assert secrets.find(text)[:2] == ([], every) and secrets.find(text)[3] == 0
+
+
+def test_base64_is_decoded_whatever_stands_around_or_in_it():
+    b64, raw = (lambda b: base64.b64encode(b).decode()), f"some text before {KEY} and after".encode()
+    mime = base64.encodebytes(raw * 3).decode()
+    runs = {"wrapped": mime, "wrapped stream": base64.encodebytes(gzip.compress(bytes(range(256)) + raw)).decode(), "wrapped, returns": mime.replace("\n", "\r\n"),
+            "indented": mime.replace("\n", "\n    "), "in JSON": json.dumps(mime), "narrow": "\n".join(b64(raw)[k : k + 10] for k in range(0, len(b64(raw)), 10)),
+            "latin-1": b64("é ".encode("latin-1") + raw), "binary": b64(bytes(range(256)) + raw), "utf-16": b64(raw.decode().encode("utf-16")), "utf-16 le": b64(raw.decode().encode("utf-16-le")),
+            "utf-16 be": b64(raw.decode().encode("utf-16-be")), "utf-16 in a stream": b64(zlib.compress(raw.decode().encode("utf-16-be")))}
+    for before in ("config_", "conf/", "x_", "+", "ab-", "é "):
+        runs |= {before: before + b64(raw), before + " stream": before + b64(gzip.compress(raw))}
+    for name, run in runs.items():
+        text = f"é some words {run} more words"
+        spans = secrets.find(text)[1]
+        assert {k for _, k, _ in spans} == {0, 2}, name
+        assert all(13 <= s < e <= 13 + len(run) for s, _, e in spans), name
+        assert secrets.may_matter(text.encode())
