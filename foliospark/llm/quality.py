@@ -7,8 +7,13 @@ are merged into those of their language, and those into the whole. Tukey fences
 the quartile distance) read from the sketches replace fixed cutoffs; documents join their group's fences and are kept
 if every metric is inside.
 
-Defined cases: null text counts as empty and fails the base rule; a null lang or source is a group of its own; repeated
-rows are judged one by one; an empty table gives an empty result; further columns are ignored.
+Lines are those between line feeds of the text as it stands: a carriage return or white space at a line's edges belongs to
+it, so lines that differ there are different lines. Windows of words are compared word by word.
+
+Defined cases: null text counts as empty and fails the base rule; a null lang or source is a group of its own; a very long
+text is measured whole, in one task, which holds its words and one hash and index for each; a value on a fence is inside,
+and equal values share a bucket, so ties are judged alike; repeated rows are judged one by one; an empty table gives an
+empty result; further columns, also of clashing names, are ignored by the rules and kept by the filter.
 """
 
 from __future__ import annotations
@@ -30,15 +35,20 @@ SUB_BITS = 5
 def repeat_words(words: str) -> str:
     """SQL for the number of words that stand in a three-word window found twice or more in the array `words`.
 
-    Windows are compared by 64-bit hash. Only texts with a repeated hash take the sorting branch.
+    A 64-bit hash finds the texts that may have one: equal windows have equal hashes. Only those take the sorting branch,
+    which orders windows by hash, then words, and compares the words themselves.
     """
+
+    def same(x: str, y: str) -> str:
+        return "(" + " AND ".join(f"{x}.{c} = {y}.{c}" for c in "habc") + ")"
+
     return f"""
     CASE WHEN size({words}) < 3 THEN 0 ELSE
       transform(array(transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))), hs ->
         CASE WHEN size(array_distinct(hs)) = size(hs) THEN 0 ELSE
-          transform(array(sort_array(transform(hs, (h, i) -> struct(h AS h, i AS i)))), s ->
+          transform(array(sort_array(transform(hs, (h, i) -> struct(h AS h, {words}[i] AS a, {words}[i + 1] AS b, {words}[i + 2] AS c, i AS i)))), s ->
             size(array_distinct(flatten(transform(
-              filter(s, (x, j) -> x.h = get(s, j - 1).h OR x.h = get(s, j + 1).h),
+              filter(s, (x, j) -> {same("x", "get(s, j - 1)")} OR {same("x", "get(s, j + 1)")}),
               x -> array(x.i, x.i + 1, x.i + 2)))))
           )[0]
         END
@@ -52,8 +62,8 @@ def metrics(df: DataFrame, text: str) -> DataFrame:
     t = f"coalesce({text}, '')"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     per_text = f"""
-    transform(array(trim(BOTH '{spaces}' FROM {t})), t ->
-      transform(array(CASE WHEN t = '' THEN CAST(array() AS array<string>) ELSE split(t, '[ \\\\t-\\\\r]+') END), w ->
+    transform(array({t}), t ->
+      transform(array(filter(split(t, '[ \\\\t-\\\\r]+'), v -> v <> '')), w ->
         transform(array(filter(split(t, '\\\\n'), l -> l RLIKE '[^ \\\\t-\\\\r]')), ls -> named_struct(
           'n_words', CAST(size(w) AS bigint),
           'word_chars', CAST(length(translate(t, '{spaces}', '')) AS bigint),

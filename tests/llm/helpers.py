@@ -17,6 +17,8 @@ def awkward(n: int = 60, seed: int = 1) -> list[tuple]:
     rows += [(1000, None, "en", "a", None), (1001, "", None, None, 0), (1002, " \t\n ", "en", "b", 4), (None, "no id here at all", "en", "a", 17)]
     rows += [rows[3], rows[3], (2000, rows[3][1], "en", "a", rows[3][4]), (None, None, None, None, None)]
     rows.append((3000, "lorem ipsum " * 6000, "en", "a", 72000))
+    for i, text in enumerate(["alpha one\r\nbeta two\r\nalpha one\r\n", " alpha\nbeta\n alpha", "alpha \nbeta\nalpha \n", "\talpha\n\talpha", "b a\x0bc\x0c\n a"]):
+        rows.append((3100 + i, text, "en", "b", len(text)))
     rows.append((3001, "x" * 50000, "en", "a", 50000))
     return rows
 
