@@ -93,7 +93,7 @@ def test_local_search_against_exhaustive_search():
     worse = improved = 0
     for _ in range(150):
         lengths = np.array([r.randrange(1, 60) for _ in range(r.randrange(1, 9))])
-        start = packing.best_fit_decreasing(lengths, 100)
+        start = packing.best_fit(lengths, 100, packing.largest_first(lengths))
         bins = packing.local_search(lengths, start, 100)
         assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 100 for b in bins)
         worse += len(bins) > best_bins(lengths.tolist(), 100)
@@ -101,7 +101,20 @@ def test_local_search_against_exhaustive_search():
         improved += len(packing.local_search(lengths, bad, 100)) - best_bins(lengths.tolist(), 100)
     assert worse <= 3 and improved <= 8
     big = np.random.default_rng(0).integers(1, 2048, 3000)
-    assert len(packing.local_search(big, packing.best_fit_decreasing(big, 2048), 2048)) <= least_bins(big.tolist(), 2048) * 1.005 + 1
+    start, steps, touched = packing.best_fit(big, 2048, range(3000)), {}, np.zeros(3000, np.int64)
+    bins = packing.search(big, start, 2048, steps, touched)
+    assert len(bins) < len(start) and len(bins) <= least_bins(big.tolist(), 2048) * 1.005 + 1
+    assert min(steps[k] for k in ("move", "one for one", "two for one", "one for two")) > 0 and touched.sum() > 0
+
+
+def test_least_bins_undercut_no_packing():
+    r = random.Random(6)
+    for _ in range(200):
+        lengths = [r.randrange(1, r.choice([20, 60, 100])) for _ in range(r.randrange(0, 9))]
+        bound = packing.least_bins(np.array(lengths, np.int64), 100)
+        assert -(-sum(lengths) // 100) <= bound <= best_bins(lengths, 100)
+    lengths = [r.randrange(1, 2048) for _ in range(500)]
+    assert packing.least_bins(np.array(lengths), 2048) >= least_bins(lengths, 2048)
 
 
 def test_cut():
@@ -112,10 +125,13 @@ def improves(lengths, bins, capacity):
     """Whether some bin has a step that raises the sum of squared fills, by trying them all."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     for a, own in enumerate(bins):
-        gives = {int(lengths[i]) for i in own} | {int(lengths[i] + lengths[j]) for k, i in enumerate(own) for j in own[k + 1 :]}
+        gives = {int(lengths[i]) for i in own}
+        pairs = {int(lengths[i] + lengths[j]) for k, i in enumerate(own) for j in own[k + 1 :]}
         for b, other in enumerate(bins):
             if a != b and fill[a] <= fill[b] < capacity:
-                if any(lengths[i] + fill[b] <= capacity for i in own) or any(0 < g - lengths[j] <= capacity - fill[b] for g in gives for j in other):
+                if any(lengths[i] + fill[b] <= capacity for i in own) or any(0 < g - lengths[j] <= capacity - fill[b] for g in gives | pairs for j in other):
+                    return True
+                if any(0 < g - lengths[i] - lengths[j] <= capacity - fill[b] for g in gives for k, i in enumerate(other) for j in other[k + 1 :]):
                     return True
     return False
 
@@ -125,8 +141,8 @@ def test_local_search_ends_where_no_step_improves():
     for low, high, n, capacity in ((600, 800, 300, 2048), (30, 60, 400, 2048), (500, 1100, 300, 2048), (300, 420, 200, 1000)):
         for _ in range(3):
             lengths = r.integers(low, high, n)
-            bins = packing.local_search(lengths, packing.best_fit_decreasing(lengths, capacity), capacity)
-            assert len(bins) == -(-lengths.sum() // capacity) or not improves(lengths, bins, capacity)
+            bins = packing.local_search(lengths, packing.best_fit(lengths, capacity, packing.largest_first(lengths)), capacity)
+            assert len(bins) == packing.least_bins(lengths, capacity) or not improves(lengths, bins, capacity)
 
 
 def test_leftover_bins_of_all_shards_are_searched(spark):
@@ -141,3 +157,11 @@ def test_leftover_bins_of_all_shards_are_searched(spark):
         assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 100
     fills = sorted(sum(n for _, n in places) for places in by.values())
     assert fills[0] + fills[1] > 100  # no shard has left a bin that another's could take
+
+
+def test_the_search_saves_the_querys_sequences(spark):
+    """From the plain order of rows, on the whole table: as few as the volume allows, by steps that are counted."""
+    out = packing.op5_packing(spark, "/root/testdata/sf0.01").select("first_id", "sequence_id", "steps", "length").collect()
+    begun, ended = len({x.first_id for x in out}), len({x.sequence_id for x in out})
+    assert begun > ended and ended <= -(-sum(x.length for x in out) // 2048) + 1
+    assert sum(x.steps > 0 for x in out) > 50
