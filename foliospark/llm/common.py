@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word, in Java, Python and DuckDB syntax alike: a run of anything but the six ASCII white-space characters.
@@ -106,6 +107,43 @@ def small_or_salted_join(left: DataFrame, right: DataFrame, keys: list[str], sal
     return salted.join(copies, same, "left").drop("salt_", "r_salt_", *[f"r_{k}" for k in keys])
 
 
+def prefix_sums(totals: DataFrame, key: str, at: str, n: str, places: int, fan: int = 4096) -> DataFrame:
+    """(key, at, before): the sum of n over smaller `at` (0 to places - 1) of the same key; `totals` has a row for each (key, at).
+
+    Beyond `fan` places the sums go by levels, as in a scan, so that no window has more than `fan` rows.
+    """
+    if places <= fan:
+        by = W.partitionBy(key).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return totals.select(key, at, (F.sum(n).over(by) - F.col(n)).alias("before"))
+    up = f"{at}_"
+    low = totals.select(key, at, n, F.expr(f"{at} div {fan}L").alias(up))
+    upper = prefix_sums(low.groupBy(key, up).agg(F.sum(n).alias(n)), key, up, n, -(-places // fan), fan)
+    upper = upper.select(F.col(key).alias("k_"), F.col(up).alias("u_"), F.col("before").alias("base_"))
+    by = W.partitionBy(key, up).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = low.withColumn("in_", F.sum(n).over(by) - F.col(n))
+    return inner.join(upper, (inner[key] == upper["k_"]) & (inner[up] == upper["u_"])).select(key, at, (F.col("in_") + F.col("base_")).alias("before"))
+
+
+def running(table: DataFrame, order: list[Column], sums: dict[str, Column], one_window: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with inclusive running sums over an order without ties.
+
+    Up to `one_window` rows (counted) one window does it. Beyond that rows are dealt by ranges of the order, summed within
+    ranges of about 10,000 rows, and the ranges' totals are summed by themselves.
+    """
+    rows = table.count()
+    if rows <= one_window:
+        by = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return table.select("*", *[F.sum(c).over(by).alias(name) for name, c in sums.items()])
+    dealt = materialize(table.repartitionByRange(-(-rows // 10_000), *order).withColumn("part_", F.spark_partition_id()), "ranges")
+    total = dealt.groupBy("part_").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    over = W.orderBy("part_").rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = total.select(F.col("part_").alias("p_"), *[(F.sum(name).over(over) - F.col(name)).alias(f"{name}_") for name in sums])
+    by = W.partitionBy("part_").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = dealt.select("*", *[F.sum(c).over(by).alias(name) for name, c in sums.items()])
+    out = inner.join(F.broadcast(base), inner["part_"] == base["p_"])
+    return out.select(*table.columns, *[(F.col(name) + F.col(f"{name}_")).alias(name) for name in sums])
+
+
 def bound(value: Column, body, name: str = "v") -> Column:
     """body(x) with x bound to the value once: a lambda over a one-element array keeps Catalyst from copying it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import common
 
@@ -36,3 +37,21 @@ def test_batches_are_bounded(spark):
     common.bounded_batches(spark)
     assert spark.conf.get(key) == "100"
     spark.conf.unset(key)
+
+
+def test_prefix_sums_by_levels(spark):
+    rows = [(k, at, (at * 7 + k) % 5) for k in (1, 2) for at in range(0, 300, k)]
+    df = spark.createDataFrame(rows, "sid int, at long, n long")
+    want = sorted((k, at, sum(n for x, b, n in rows if x == k and b < at)) for k, at, _ in rows)
+    for fan in (4, 17, 4096):
+        assert sorted(map(tuple, common.prefix_sums(df, "sid", "at", "n", 300, fan).collect())) == want
+
+
+def test_running_sums_by_ranges(spark):
+    rows = [(None if i == 3 else f"s{i * 37 % 101:03d}", i) for i in range(101)]
+    df = spark.createDataFrame(rows, "source string, n long")
+    by = [F.col("source").asc_nulls_last()]
+    one = common.running(df, by, {"nth": F.lit(1), "sum": F.col("n")})
+    many = common.running(df, by, {"nth": F.lit(1), "sum": F.col("n")}, one_window=5)
+    assert one.columns == many.columns and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    assert one.filter("source IS NULL").first()["nth"] == 101

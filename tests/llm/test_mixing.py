@@ -50,12 +50,47 @@ def test_schedule(spark):
         ranks[x.sid].append(x.rank)
     assert {s: sorted(r) for s, r in ranks.items()} == {0: list(range(500)), 1: list(range(50)), 3: [0, 1]}
     assert all(r == sorted(r) for r in ranks.values()) and len({x.slot for x in slots}) == len(slots)
-    # low discrepancy: every run of slots holds a source in about its share
+    # low discrepancy: every prefix and every run of slots holds a source in about its share
+    for s, quota in ((0, 500), (1, 50), (3, 2)):
+        n = 0
+        for i, x in enumerate(slots):
+            n += x.sid == s
+            assert abs(n - (i + 1) * quota / len(slots)) <= 3
     for at in range(0, 500, 50):
         n = sum(x.sid == 1 for x in slots[at : at + 55])
         assert 2 <= n <= 8
 
 
+def test_schedule_is_the_first_slots_of_the_endless_sequence(spark):
+    gold = (int(0.6180339887498949 * (1 << 61)) | 1) / (1 << 61)
+    for quotas in ([7], [1, 1], [1, 5000], [3, 0, 900, 1, 40], [1] * 30):
+        sources = spark.createDataFrame([(i, float(q)) for i, q in enumerate(quotas)], "sid long, target double")
+        got = sorted(tuple(x) for x in mixing.schedule(sources, block=1, chunk=8).collect())
+        want, had, slot = [], [0] * len(quotas), 0
+        owner = [i for i, q in enumerate(quotas) for _ in range(q)]
+        while had != quotas:
+            s = owner[int((slot * gold) % 1 * len(owner))]
+            if had[s] < quotas[s]:
+                want.append((slot, s, had[s]))
+                had[s] += 1
+            slot += 1
+        assert got == want
+
+
+def test_slots_order_the_mixture(spark):
+    rows = awkward(150)
+    first = {}
+    for r in mixing.mix_report(frame(spark, rows)).collect():
+        assert (r.first_slot is None) == (r.taken == 0) == (r.pieces == 0)
+        first.setdefault(r.doc_id, []).append(r.first_slot)
+    out = mixing.mix_documents(frame(spark, rows), slot="slot")
+    assert out.columns[-1] == "slot"
+    for part in out.rdd.glom().collect():
+        assert [r.slot for r in part] == sorted(r.slot for r in part)
+    for r in out.collect():
+        assert r.slot >= min(x for x in first[r.doc_id] if x is not None)
+
+
 def test_mixture_takes_each_word_range_once_a_pass(spark):
     rows = awkward(60)
     df = frame(spark, rows)
