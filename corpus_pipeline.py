@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import mixing, packing, quality, secrets, simhash
-from foliospark.llm.common import read_table, shared_dir
+from foliospark.llm.common import materialize, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +24,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents once for each pass that takes them, the last of a source cut at its target."""
+    """The mixture: documents once for each pass that takes them, the last of a source cut at its target, in schedule order."""
     return mixing.mix_documents(docs)
 
 
@@ -48,13 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents, each stage's rows written to the shared folder and read again."""
+    """All stages on the table documents, each stage's rows written to the shared folder and read again.
+
+    The folders go when the application ends, as those of the operators do.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/stage{k}-{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            out = spark.read.parquet(path)
-        docs = out
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
