@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text, vectors, wordpiece
 from foliospark.functions.porter import stems
 from foliospark.operators import answers, index, judge, key_numbers, keywords, search, tree
-from foliospark.plans import corpus, pipeline
+from foliospark.plans import corpus, files, pipeline
 from foliospark.sources import archive, html, markdown, pdf
 
 
@@ -226,12 +226,6 @@ def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.stale(now, registry).select("doc_id", "n_sections")
 
 
-def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
-    first = F.trim(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1))
-    return corpus.table(spark, sf_dir, "pages").select("page_id", F.when(own != "", own).otherwise(first).alias("title"))
-
-
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpus.table(spark, sf_dir, "pages").select("page_id", "html")
 
@@ -305,7 +299,7 @@ QUERIES = {
     for f in (
         section_tree, section_children, table_normalise, keywords_topk, figures, key_numbers_top, doc_slug, source_label, retrieval_tokens, postings_df, postings, bm25_topk, bm25_document, dense_topk,
         cosine_pairs, semantic_edges, structural_edges, rrf_fuse, graph_expand, hybrid_topk, porter_bm25, query_confidence, extractive_answer, key_number_match, layer_route, layered_answers, answer_flags,
-        quantize_int8, quantize_binary, quantize_float16, normalized_vectors, doc_fingerprint, stale_documents, html_title, html_sections, markdown_sections, pdf_headings, phase_rollup, local_judge,
+        quantize_int8, quantize_binary, quantize_float16, normalized_vectors, doc_fingerprint, stale_documents, html_sections, markdown_sections, pdf_headings, phase_rollup, local_judge,
         verdict_parse, wordpiece_encode, archive_roundtrip,
     )
-}
+} | files.QUERIES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliospark.functions import words
 from foliospark.operators import key_numbers as kn
+from foliospark.plans import files
 from foliospark.plans.corpus import QUESTIONS
 
 SECTIONS = """
@@ -237,7 +238,6 @@ SELECT vec_id, round(list_dot_product(n, n), 5) AS norm, round(n[1], 5) AS first
     "doc_fingerprint": f"""WITH RECURSIVE {TREE}, h AS (SELECT doc_id, count(*) AS n_sections, string_agg(hex(encode(id)) || lpad(hex(length(text)), 8, '0') || hex(encode(text[1:200])), '' ORDER BY sec_idx) AS h FROM tree GROUP BY doc_id)
 SELECT doc_id, n_sections, sha256(unhex(hex(encode(CAST(doc_id AS VARCHAR))) || lpad(hex(n_sections), 8, '0') || h)) AS fingerprint FROM h""",
     "stale_documents": f"WITH {SECTIONS}, n AS (SELECT doc_id, count(*) AS n_sections FROM sec GROUP BY doc_id) SELECT doc_id, n_sections FROM n WHERE doc_id % 3 = 0 OR n_sections % 2 <> 0",
-    "html_title": "SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) ELSE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) END AS title FROM pages",
     "markdown_sections": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), m AS (SELECT doc_id, i, CASE WHEN i % 5 = 1 THEN repeat('#', i % 3 + 1) || ' ' || ls[i + 1] WHEN i % 7 = 3 THEN '```' ELSE ls[i + 1] END AS s FROM (SELECT *, unnest(range(len(ls))) AS i FROM l)),
 f AS (SELECT *, regexp_matches(s, '^[ \\t]*(```|~~~)') AS fe, sum(CASE WHEN regexp_matches(s, '^[ \\t]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
 h AS (SELECT *, NOT fe AND k % 2 = 0 AND regexp_matches(s, '^#{1,6}\\s+.+?\\s*$') AS head FROM f), g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
@@ -256,4 +256,4 @@ CAST(CASE WHEN c = '' OR c LIKE 'not found in context%' OR c LIKE 'not found in
 WHEN b >= 0.7 THEN 10 WHEN b >= 0.55 THEN 9 WHEN b >= 0.4 THEN 8 WHEN b >= 0.28 THEN 7 WHEN b >= 0.18 THEN 6 WHEN b >= 0.1 THEN 5 WHEN b >= 0.04 THEN 3 ELSE 0 END AS INTEGER) AS score FROM j4""",
     "archive_roundtrip": f"WITH RECURSIVE {TREE},{KEYWORD_PARTS}, c AS (SELECT doc_id, parent_idx AS sec_idx, string_agg(id, ' ' ORDER BY sec_idx) AS ids FROM tree WHERE parent_idx IS NOT NULL GROUP BY doc_id, parent_idx) SELECT CAST(t.doc_id AS VARCHAR) AS doc_id, t.sec_idx, id, title, level, text, parent_id, coalesce(ids, '') AS children, coalesce(keywords, '') AS keywords, CAST(floor({word_count('text')} * CAST(1.3 AS DOUBLE)) AS INTEGER) AS token_count FROM tree t LEFT JOIN c ON t.doc_id = c.doc_id AND t.sec_idx = c.sec_idx LEFT JOIN k ON t.doc_id = k.doc_id AND t.sec_idx = k.sec_idx",
     "verdict_parse": "SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 5 ELSE quality * 8 + toxic END AS INTEGER) AS score, CASE WHEN doc_id % 5 = 0 THEN 'parse error' ELSE 'because: yes' END AS reason FROM labels",
-}
+} | files.ORACLES
