@@ -7,6 +7,7 @@ ones load a local model file in each worker once; no model is fetched.
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +40,15 @@ def embed_sections(sections: DataFrame, embed: Callable, batch: int = BATCH) ->
     return sections.select("doc_id", "sec_idx", run(joined).alias("raw")).select("doc_id", "sec_idx", vectors.normalized(F.col("raw")).alias("vec"))
 
 
+def model_files(folder: str, name: str = "model") -> tuple[str, str]:
+    """Where a folder's model and vocabulary are expected; nothing is fetched."""
+    return os.path.join(folder, f"{name}.onnx"), os.path.join(folder, f"{name}.vocab.txt")
+
+
+def model_present(folder: str, name: str = "model") -> bool:
+    return all(map(os.path.isfile, model_files(folder, name)))
+
+
 @functools.lru_cache(maxsize=4)
 def _session(model: str, vocabulary: str):
     import onnxruntime

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,4 +78,9 @@ def stem(word: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+    """Stems of arrays of tokens: each distinct token of a batch is stemmed once."""
+    sizes = [0 if ts is None else len(ts) for ts in tokens]
+    codes, distinct = pd.factorize(np.array([t for ts in tokens if ts is not None for t in ts], object))
+    found = np.array([stem(t) for t in distinct], object)[codes] if len(distinct) else np.array([], object)
+    ends = np.cumsum(sizes)
+    return pd.Series([None if ts is None else found[e - n : e].tolist() for ts, e, n in zip(tokens, ends, sizes)], index=tokens.index)

@@ -9,11 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text, words
+from foliospark.shared import shared_path
 
 # Gates and prompt sizes.
 L1, L2 = 0.6, 0.2
 SECTION_CHARS, MULTI, MULTI_CHARS, FALLBACK, FALLBACK_CHARS, DOCUMENT_CHARS = 2500, 5, 1400, 8, 1600, 12000
 
+#: What a model is told in layers 2, 3 and 4; {top} is the id of the best section.
+TELL2 = "Answer from this section only; if it doesn't say, reply 'Not found in {top}'.\n\nSection {top}:\n"
+TELL3 = "Answer from these sections of one document, taking them together; say that it is unavailable only if none of them tells."
+TELL4 = "Answer from this part of a document as well as it allows; say that it is unavailable only if it truly can't be found."
+ENUMERATE = " This question asks for a list: name every matching item that the sections hold and leave none out."
+
 
 def confidence(question: Column, title: Column, keywords: Column, body: Column) -> Column:
     """Share of the question's content tokens that the section has; 0 without any."""
@@ -34,8 +41,7 @@ def is_refusal(answer: Column) -> Column:
 
 
 def enumeration_hint(question: Column) -> Column:
-    hint = " This question asks for a list: name every matching item that the sections hold and leave none out."
-    return F.when(text.contains_any(F.trim(F.lower(question)), words.ENUMERATION_MARKERS), F.lit(hint)).otherwise(F.lit(""))
+    return F.when(text.contains_any(F.trim(F.lower(question)), words.ENUMERATION_MARKERS), F.lit(ENUMERATE)).otherwise(F.lit(""))
 
 
 def best_sentences(body: Column, question: Column, n: int = 2) -> Column:
@@ -112,10 +118,10 @@ def prompts(hits: DataFrame, whole: DataFrame) -> DataFrame:
     joined = lambda n, field: F.array_join(F.transform(F.slice("h", 1, n), lambda x: x[field]), "\n\n")
     ids = lambda n: F.transform(F.slice("h", 1, n), lambda x: x["id"])
     hint = enumeration_hint(F.col("question"))
-    two = F.concat(F.lit("Answer from this section only; if it doesn't say, reply 'Not found in "), F.col("top"), F.lit("'.\n\nSection "), F.col("top"), F.lit(":\n"), F.col("body"), question)
-    three = F.concat(F.lit("Answer from these sections of one document, taking them together; say that it is unavailable only if none of them tells."), hint, F.lit("\n\n"), joined(MULTI, "short"), question)
+    two = F.concat(F.replace(F.lit(TELL2), F.lit("{top}"), F.col("top")), F.col("body"), question)
+    three = F.concat(F.lit(TELL3), hint, F.lit("\n\n"), joined(MULTI, "short"), question)
     context = F.when(F.coalesce(F.col("n_hits"), F.lit(0)) > 0, joined(FALLBACK, "long")).otherwise(F.substring("full_text", 1, DOCUMENT_CHARS))
-    four = F.concat(F.lit("Answer from this part of a document as well as it allows; say that it is unavailable only if it truly can't be found."), hint, F.lit("\n\n"), context, question)
+    four = F.concat(F.lit(TELL4), hint, F.lit("\n\n"), context, question)
     n = F.coalesce("n_hits", F.lit(0))
     return rows.select(
         "qid", F.when((n > 0) & (F.col("confidence") >= L2) & ~F.col("body").rlike(r"^\s*$"), two).alias("prompt2"), F.when(n >= 2, three).alias("prompt3"), four.alias("prompt4"),
@@ -139,14 +145,23 @@ def answer(questions: DataFrame, documents: DataFrame, numbers: DataFrame, hits:
     Layers 0 and 1 need no model. `complete` (prompt -> text) sees only the questions that they leave, in layers 2, 3
     and 4 as far as needed; without it those are layer -1. `whole` has (qid, question, full_text).
     """
-    zero = layer0(questions, documents, numbers)
     none = F.array().cast("array<string>")
-    done = zero.select("qid", "answer", none.alias("citations"), F.lit(0).alias("layer_used"), F.lit(0).alias("tokens_used"), F.lit(1.0).alias("confidence"))
-    one = layer1(hits).join(zero.select(F.col("qid").alias("q_")), F.expr("qid = q_"), "left_anti")
-    done = done.unionByName(one.select("qid", "answer", "citations", F.lit(1).alias("layer_used"), F.lit(0).alias("tokens_used"), "confidence"))
-    left = questions.join(done.select(F.col("qid").alias("q_")), F.expr("qid = q_"), "left_anti")
+    zero = layer0(questions, documents, numbers).select(F.col("qid").alias("z_"), F.col("answer").alias("a0"))
+    one = layer1(hits).select(F.col("qid").alias("o_"), F.col("answer").alias("a1"), F.col("citations").alias("c1"), F.col("confidence").alias("f1"))
+    # every question once, with what layers 0 and 1 say of it
+    rows = questions.join(zero, F.expr("qid = z_"), "left").join(one, F.expr("qid = o_"), "left")
+    by0, by1 = F.col("a0").isNotNull(), F.col("a1").isNotNull()
+    told = rows.select(
+        "qid", F.coalesce("a0", "a1", F.lit("")).alias("answer"), F.when(by0, none).when(by1, F.col("c1")).otherwise(none).alias("citations"),
+        F.when(by0, 0).when(by1, 1).otherwise(-1).alias("layer_used"), F.lit(0).alias("tokens_used"), F.when(by0, 1.0).when(by1, F.col("f1")).otherwise(0.0).alias("confidence"), "question",
+    )
     if complete is None:
-        return done.unionByName(left.select("qid", F.lit("").alias("answer"), none.alias("citations"), F.lit(-1).alias("layer_used"), F.lit(0).alias("tokens_used"), F.lit(0.0).alias("confidence")))
+        return told.drop("question")
+    # layers 0 and 1 are read twice from here on, so they are written once
+    path = shared_path(questions.sparkSession, "told")
+    told.write.parquet(path)
+    told = questions.sparkSession.read.schema(told.schema).parquet(path)
+    done, left = told.filter("layer_used >= 0").drop("question"), told.filter("layer_used < 0").select("qid", "question")
     if whole is None:
         whole = left.select("qid", "question", F.lit("").alias("full_text"))
     asked = prompts(hits, whole.join(left.select(F.col("qid").alias("q_")), F.expr("qid = q_"), "left_semi"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.functions import text, vectors
-from foliospark.operators.index import section_lengths, token_rows
+from foliospark.functions import text
+from foliospark.functions.porter import stems
+from foliospark.operators.index import ScannedIndex, StoredIndex, _tokens
 
 # Constants of the ranking functions.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -23,52 +24,86 @@ TOP_K, RERANK_POOL = 8, 12
 PLACES = 12
 
 
-def query_terms(questions: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+def query_terms(questions: DataFrame, stem: Callable[[Column], Column] | None = stems) -> DataFrame:
     """(qid, only, unit, n_words, nth, term): a unit is a token or, where it has parts, a phrase; only: the question's document."""
-    units = questions.select("qid", F.col("doc_id").alias("only"), F.posexplode(F.array_distinct(text.query_units(F.col("question")))).alias("unit", "w"))
-    parts = text.index_tokens(F.col("w"))
-    rows = units.withColumn("p", parts if stem is None else stem(parts)).filter(F.size("p") > 0)
+    rows = _units(questions, stem).select("qid", F.col("doc_id").alias("only"), F.posexplode("units").alias("unit", "p"))
     return rows.select("qid", "only", "unit", F.size("p").alias("n_words"), F.posexplode("p").alias("nth", "term"))
 
 
-def occurrences(sections: DataFrame, terms: DataFrame, stem=None, within: bool = False) -> DataFrame:
-    """(qid, unit, doc_id, sec_idx, f): occurrences of each unit in a section; phrases stay in one column.
+def _units(questions: DataFrame, stem=stems) -> DataFrame:
+    """(qid, doc_id, units): the token lists of a question's distinct units, none of them empty."""
+    rows = questions.select("qid", "doc_id", F.transform(F.array_distinct(text.query_units(F.col("question"))), text.index_tokens).alias("units"))
+    if stem is not None:  # a flat list for the stemmer, cut into units again
+        rows = rows.withColumn("s_", stem(F.flatten("units"))).withColumn("n_", F.transform("units", F.size))
+        upto = lambda i: F.aggregate(F.slice("n_", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        rows = rows.withColumn("units", F.transform("n_", lambda n, i: F.slice("s_", upto(i) + 1, n)))
+    return rows.select("qid", "doc_id", F.filter("units", lambda u: F.size(u) > 0).alias("units"))
+
+
+def occurrences(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, unit, doc_id, sec_idx, length, f): occurrences of each unit in a section; phrases stay in one column.
 
     A phrase stands where all its words stand at the same start. Tokens without a question's term are dropped by the
-    join. within: every question is of one document, so tokens meet the terms of their own document's questions only.
+    join.
     """
-    asked = terms.withColumnRenamed("term", "t_")
-    hits = token_rows(sections, stem).join(asked, F.expr("doc_id = only AND term = t_" if within else "term = t_ AND (only IS NULL OR only = doc_id)"))
+    hits = tokens.join(terms.withColumnRenamed("term", "t_"), F.expr("term = t_ AND (only IS NULL OR only = doc_id)"))
     hits = hits.withColumn("start", F.col("pos") - F.col("nth"))
     # a unit of one word and a phrase alike: all n_words words at one start
-    whole = hits.groupBy("qid", "unit", "n_words", "doc_id", "sec_idx", "col", "start").agg(F.count("*").alias("m")).filter("m = n_words")
-    return whole.groupBy("qid", "unit", "doc_id", "sec_idx").agg(F.count("*").alias("f"))
+    whole = hits.groupBy("qid", "unit", "n_words", "doc_id", "sec_idx", "length", "col", "start").agg(F.count("*").alias("m")).filter("m = n_words")
+    return whole.groupBy("qid", "unit", "doc_id", "sec_idx", "length").agg(F.count("*").alias("f"))
+
+
+def _part(n_all: Column, n: Column, f: Column, length: Column, mean: Column) -> Column:
+    """What one unit adds to a section's score."""
+    idf = F.ln((n_all - n + 0.5) / (n + 0.5))
+    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
+    return idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * length / mean))
 
 
-def bm25(sections: DataFrame, questions: DataFrame, scope: str = "document", stem=None, within: bool = False) -> DataFrame:
+def bm25(source: DataFrame | ScannedIndex | StoredIndex, questions: DataFrame, scope: str = "document", stem=stems) -> DataFrame:
     """(qid, doc_id, sec_idx, score) of every section with a unit of the question.
 
-    scope: statistics over each `document`, or over the whole `corpus`. A question with a doc_id sees that document
-    only; within: all have one, which makes the document a join key.
+    source: an index, or sections, which are then scanned once for hits and once for lengths. scope: statistics over
+    each `document`, or over the whole `corpus`. A question with a doc_id sees that document only. The stemmer is the
+    index's.
     """
-    found = occurrences(sections, query_terms(questions, stem), stem, within)
-    lengths = section_lengths(sections)
+    index = ScannedIndex(source, stem) if isinstance(source, DataFrame) else source
+    terms = query_terms(questions, index.stem)
+    found = occurrences(index.tokens(terms), terms)
     keys = ["doc_id"] if scope == "document" else []
-    n_all, mean = F.count("*").alias("n_all"), F.avg("length").alias("mean")
     with_n = found.groupBy("qid", "unit", *keys).agg(F.count("*").alias("n"))
     same = F.expr("qid = q_ AND unit = u_" + (" AND doc_id = d_" if keys else ""))
     found = found.join(with_n.select(F.col("qid").alias("q_"), F.col("unit").alias("u_"), *[F.col(k).alias("d_") for k in keys], "n"), same).drop("q_", "u_", "d_")
-    found = found.join(lengths.select(F.col("doc_id").alias("d_"), F.col("sec_idx").alias("s_"), "length"), F.expr("doc_id = d_ AND sec_idx = s_")).drop("d_", "s_")
     if keys:
-        found = found.join(lengths.groupBy("doc_id").agg(n_all, mean), "doc_id")
+        found = found.join(index.documents().withColumnRenamed("doc_id", "d_"), F.expr("doc_id = d_")).drop("d_")
     else:
-        found = found.withColumn("n_all", lengths.agg(n_all).scalar()).withColumn("mean", lengths.agg(mean).scalar())
-    idf = F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        whole = index.totals().select(F.struct("n_sections", "n_tokens")).scalar()
+        found = found.withColumn("w_", whole).select("*", "w_.n_sections", "w_.n_tokens")
+    part = _part(F.col("n_sections"), F.col("n"), F.col("f"), F.col("length"), F.col("n_tokens") / F.col("n_sections"))
     return found.withColumn("part", part).groupBy("qid", "doc_id", "sec_idx").agg(F.sum("part").alias("score"))
 
 
+def bm25_within(sections: DataFrame, questions: DataFrame, stem=stems) -> DataFrame:
+    """The scores of bm25() with statistics over each document, where every question has a doc_id.
+
+    A section's row meets its document's questions and counts their units in its own tokens: no token leaves its row.
+    Everything after that join is by document, so it moves nothing more.
+    """
+    asked = _units(questions, stem).select("qid", F.col("doc_id").alias("d_"), "units")
+    rows = _tokens(sections, stem).join(asked, F.expr("doc_id = d_"))
+    # places where all words of the unit follow each other
+    count = lambda t, u: F.when(F.size(t) < F.size(u), 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - F.size(u) + 1, F.lit(1))), lambda i: F.slice(t, i, F.size(u)) == u)))
+    single = lambda t, u: F.size(F.filter(t, lambda x: x == u[0]))
+    times = lambda t, u: F.when(F.size(u) == 1, single(t, u)).otherwise(count(t, u))
+    rows = rows.select("qid", "doc_id", "sec_idx", "length", F.transform("units", lambda u: times(F.col("t0"), u) + times(F.col("t1"), u)).alias("fs"))
+    by = W.partitionBy("doc_id", "qid")
+    rows = rows.withColumn("n_all", F.count("*").over(by)).withColumn("mean", F.avg("length").over(by))
+    hit = rows.filter(F.exists("fs", lambda f: f > 0)).select("qid", "doc_id", "sec_idx", "length", "n_all", "mean", F.posexplode("fs").alias("unit", "f")).filter("f > 0")
+    hit = hit.withColumn("n", F.count("*").over(W.partitionBy("doc_id", "qid", "unit")))
+    part = _part(F.col("n_all"), F.col("n"), F.col("f"), F.col("length"), F.col("mean"))
+    return hit.groupBy("doc_id", "qid", "sec_idx").agg(F.sum(part).alias("score")).select("qid", "doc_id", "sec_idx", "score")
+
+
 def ranked(scores: DataFrame, k: int | None, *by: str) -> DataFrame:
     """Adds rank (0-based) in each group by score (rounded), then place; the first k. Few rows a group are shuffled."""
     keys = list(by) or ["qid"]
@@ -80,10 +115,27 @@ def ranked(scores: DataFrame, k: int | None, *by: str) -> DataFrame:
 
 
 def dense(section_vectors: DataFrame, question_vectors: DataFrame) -> DataFrame:
-    """(qid, doc_id, sec_idx, score): inner products of a question's vector with all of its document's sections."""
-    asked = question_vectors.select("qid", F.col("doc_id").alias("d_"), F.col("vec").alias("q_"))
-    rows = section_vectors.join(asked, F.expr("doc_id = d_"))
-    return rows.select("qid", "doc_id", "sec_idx", vectors.dot(F.col("q_"), F.col("vec")).alias("score"))
+    """(qid, doc_id, sec_idx, score): inner products of a question's vector with all of its document's sections, in double.
+
+    Pairs meet by a join, which adaptive execution splits where a document is hot; products are then taken batch by batch
+    as one numpy operation over the shorter length, and not element by element.
+    """
+    import numpy as np
+
+    @F.pandas_udf("double")
+    def products(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        n, m = a.map(len).to_numpy(), b.map(len).to_numpy()
+        least = np.minimum(n, m)
+        pick = lambda s, size: np.concatenate(s.to_list()).astype(np.float64)[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) < np.repeat(least, size)]
+        starts = np.cumsum(least) - least
+        both = np.append(pick(a, n) * pick(b, m), 0.0)
+        return pd.Series(np.where(least > 0, np.add.reduceat(both, np.minimum(starts, len(both) - 1)), 0.0), index=a.index)
+
+    asked = question_vectors.filter("vec IS NOT NULL").select("qid", F.col("doc_id").alias("d_"), F.col("vec").alias("q_"))
+    rows = section_vectors.filter("vec IS NOT NULL").join(asked, F.expr("doc_id = d_"))
+    return rows.select("qid", "doc_id", "sec_idx", products("q_", "vec").alias("score"))
 
 
 def fuse(lists: dict[float, DataFrame]) -> DataFrame:
@@ -119,12 +171,13 @@ def rerank(hits: DataFrame, score: Callable, k: int = TOP_K, pool: int = RERANK_
     return best.withColumn("rank", F.col("n_") - 1).drop("many_", "n_")
 
 
-def hybrid(sections: DataFrame, questions: DataFrame, edges: DataFrame, section_vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, k: int = TOP_K, scope: str = "document", stem=None) -> DataFrame:
+def hybrid(source: DataFrame | ScannedIndex | StoredIndex, questions: DataFrame, edges: DataFrame, section_vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, k: int = TOP_K, scope: str = "document", stem=stems, most: int | None = None) -> DataFrame:
     """(qid, doc_id, sec_idx, rank, score): BM25 and, with vectors, dense ranks of 3k each, fused, expanded, the best k.
 
-    Every question has a doc_id.
+    Every question has a doc_id. source: sections or an index. most: how many are returned, if not k.
     """
-    lists = {BM25_WEIGHT: ranked(bm25(sections, questions, scope, stem, within=True), 3 * k)}
+    scores = bm25_within(source, questions, stem) if isinstance(source, DataFrame) and scope == "document" else bm25(source, questions, scope, stem)
+    lists = {BM25_WEIGHT: ranked(scores, 3 * k)}
     if section_vectors is not None and question_vectors is not None:
         lists[DENSE_WEIGHT] = ranked(dense(section_vectors, question_vectors), 3 * k)
-    return ranked(expand(fuse(lists), edges), k)
+    return ranked(expand(fuse(lists), edges), most or k)

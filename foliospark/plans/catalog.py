@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark import embedders
 from foliospark.functions import text, vectors, wordpiece
-from foliospark.functions.porter import stems
 from foliospark.operators import answers, index, judge, key_numbers, keywords, search, tree
 from foliospark.plans import corpus, files, pipeline
+from foliospark.shared import shared_path
 from foliospark.sources import archive, html, markdown, pdf
 
 
@@ -67,12 +68,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark), scope="corpus")
+    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark), scope="corpus", stem=None)
     return search.ranked(scores, 24).select("qid", "doc_id", "sec_idx", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark))
+    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark), stem=None)
     return search.ranked(scores, search.TOP_K, "qid", "doc_id").select("qid", "doc_id", "sec_idx", "rank", F.round("score", 6).alias("score"))
 
 
@@ -87,6 +88,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with 40 components of the next, so that lengths differ."""
     v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("n_"), F.slice("embedding", 1, 40).alias("other"))
     return v.join(nxt, F.expr("vec_id = n_")).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
@@ -124,14 +126,71 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.sections(spark, sf_dir)
     asked = rows.filter("sec_idx = 1").select(F.col("doc_id").alias("qid"), "doc_id", F.col("title").alias("question"))
     edges = index.structural_edges(tree.build_tree(rows))
-    return search.hybrid(rows, asked, edges).select("qid", "sec_idx", "rank", F.round("score", 6).alias("score"))
+    return search.hybrid(rows, asked, edges, stem=None).select("qid", "sec_idx", "rank", F.round("score", 6).alias("score"))
 
 
 def porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark), scope="corpus", stem=stems)
+    scores = search.bm25(corpus.sections(spark, sf_dir), corpus.questions(spark), scope="corpus")
+    return search.ranked(scores, 24).select("qid", "doc_id", "sec_idx", "rank", F.round("score", 6).alias("score"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> index.StoredIndex:
+    """An index of all documents in three segments: every third document replaced after it was there with other text, every seventh forgotten."""
+    built = tree.build_tree(corpus.sections(spark, sf_dir))
+    out = index.StoredIndex(spark, shared_path(spark, "index"))
+    third = F.col("doc_id") % 3 == 0
+    out.add(built.withColumn("text", F.when(third, F.lit("thatin thatin rewh replaced")).otherwise(F.col("text"))))
+    out.add(built.filter(third))
+    out.forget(built.filter(F.col("doc_id") % 7 == 0).select("doc_id").distinct())
+    return out
+
+
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed BM25 that is read from the stored postings."""
+    scores = search.bm25(_stored(spark, sf_dir), corpus.questions(spark), scope="corpus")
     return search.ranked(scores, 24).select("qid", "doc_id", "sec_idx", "rank", F.round("score", 6).alias("score"))
 
 
+def stored_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored index holds of each document after replacing some and forgetting some."""
+    stored = _stored(spark, sf_dir)
+    return index.index_stats(stored.registry(), stored.edges()).select("doc_id", "n_sections", "n_edges")
+
+
+def stemmed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hybrid_topk with stems, as it is by default."""
+    rows = corpus.sections(spark, sf_dir)
+    asked = rows.filter("sec_idx = 1").select(F.col("doc_id").alias("qid"), "doc_id", F.col("title").alias("question"))
+    return search.hybrid(rows, asked, index.structural_edges(tree.build_tree(rows))).select("qid", "sec_idx", "rank", F.round("score", 6).alias("score"))
+
+
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest lines of each document ranked anew by a stand-in scorer: how near their length is to that of the question."""
+
+    def near(question, passage):
+        return -(question.str.len() - passage.str.len()).abs().astype("float64")
+
+    rows = corpus.sections(spark, sf_dir)
+    first, _ = _lists(spark, sf_dir)
+    asked = rows.filter("sec_idx = 1").select(F.col("doc_id").alias("q_"), F.col("text").alias("question"))
+    hits = first.join(rows.select(F.col("doc_id").alias("d_"), F.col("sec_idx").alias("s_"), F.col("text").alias("passage")), F.expr("doc_id = d_ AND sec_idx = s_")).join(asked, F.expr("qid = q_"))
+    return search.rerank(hits, near).select("qid", "sec_idx", "rank", "score")
+
+
+def embedded_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of length one by a stand-in model that counts characters, blanks and the letter a."""
+    vecs = embedders.embed_sections(corpus.sections(spark, sf_dir), lambda texts: [[len(t), t.count(" "), t.count("a")] for t in texts])
+    part = lambda i: F.round(F.get("vec", F.lit(i)).cast("double"), 5)
+    return vecs.select("doc_id", "sec_idx", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
+
+
+def key_numbers_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come with key numbers keep them; the others' are found."""
+    rows = corpus.figure_lines(spark, sf_dir).withColumn("id", F.lit("§1"))
+    present = corpus.table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("kn_idx"), F.lit("§1").alias("section"), F.lit("Size").alias("label"), F.col("p_size").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))
+    return pipeline.document_key_numbers(rows, 64, present).select("doc_id", "kn_idx", "section", "label", "value", "unit")
+
+
 def query_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.exchanges(spark, sf_dir)
     none = F.array().cast("array<string>")
@@ -180,12 +239,16 @@ def layer_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a stand-in model, which refuses one prompt in three."""
+    """With a stand-in model, which refuses one prompt in three; every other document has a second section."""
 
     def complete(prompt: str) -> str:
         return "I'm sorry, that is not found here." if len(prompt) % 3 == 0 else prompt[-40:]
 
-    return answers.answer(_part_questions(spark, sf_dir), _part_documents(spark, sf_dir), _part_numbers(spark, sf_dir), _part_hits(spark, sf_dir), complete).select("qid", "answer", "layer_used", "tokens_used", "confidence")
+    hits = _part_hits(spark, sf_dir)
+    brand = corpus.table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("d_"), "p_brand")
+    second = hits.join(brand, F.expr("qid = d_")).withColumn("rank", F.lit(1)).withColumn("id", F.lit("§2")).withColumn("title", F.lit("More")).withColumn("text", F.concat(F.lit("of "), "p_brand")).drop("d_", "p_brand")
+    out = answers.answer(_part_questions(spark, sf_dir), _part_documents(spark, sf_dir), _part_numbers(spark, sf_dir), hits.unionByName(second), complete)
+    return out.select("qid", "answer", F.array_join("citations", " ").alias("citations"), "layer_used", "tokens_used", F.round("confidence", 6).alias("confidence"))
 
 
 def answer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +264,7 @@ def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantize_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over 61 components, so that the last byte is filled up."""
     v = corpus.table(spark, sf_dir, "embeddings")
     return v.select("vec_id", F.lower(vectors.binary_bits(F.slice("embedding", 1, 61))).alias("bits"), vectors.stride(F.lit(61), "binary").alias("stride"))
 
@@ -211,7 +275,7 @@ def quantize_float16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalized(F.slice("embedding", 1, 10)).alias("n"))
+    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalized(F.col("embedding")).alias("n"))
     return v.select("vec_id", F.round(vectors.dot(F.col("n"), F.col("n")), 5).alias("norm"), F.round(F.get("n", F.lit(0)).cast("double"), 5).alias("first"))
 
 
@@ -270,6 +334,13 @@ def local_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.round("num_ratio", 6).alias("num_ratio"), F.round("kw_ratio", 6).alias("kw_ratio"), F.round("phrase_ratio", 6).alias("phrase_ratio"), "score")
 
 
+def model_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a stand-in judge, which grades by the length of what it is asked."""
+    rows = _judged(spark, sf_dir).withColumn("question", F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    out = judge.model_scores(rows, lambda prompt: f"so:\nSCORE: {len(prompt) % 11}\nREASONING: length {len(prompt)}")
+    return out.select("conv_id", "turn", "score", "reason")
+
+
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.concat(F.lit("thinking\nScore: "), (F.col("quality") * 8 + F.col("toxic")).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit("/10")).otherwise(F.lit("")), F.lit("\r\nreasoning: because: yes"))
     v = judge.parse_verdict(F.when(F.col("doc_id") % 5 == 0, F.lit("no verdict")).otherwise(reply))
@@ -294,12 +365,37 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "sec_idx", "id", "title", "level", "text", "parent_id", F.array_join("children", " ").alias("children"), F.array_join("keywords", " ").alias("keywords"), "token_count")
 
 
+def archive_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label a document whose sections' vectors go into its archive as bytes, one after the other, and come back."""
+    v = corpus.vectors(spark, sf_dir)
+    kind = F.col("doc_id").cast("string").alias("doc_id")
+    none = F.array().cast
+    bytes_ = v.select(kind, "sec_idx", vectors.quantizer("int8")("vec").alias("bytes"), F.lit("own").alias("model"), F.size("vec").alias("dims"), F.lit("int8").alias("quantization"))
+    rows = v.select(kind, "sec_idx", F.concat(F.lit("§"), (F.col("sec_idx") + 1).cast("string")).alias("id"), F.lit("t").alias("title"), F.lit(1).alias("level"), F.lit("").alias("text"), none("array<struct<table_id:string,caption:string,headers:array<string>,rows:array<array<string>>>>").alias("tables"), none("array<struct<image_id:string,alt:string,asset_path:string>>").alias("images"), F.lit(None).cast("string").alias("parent_id"), none("array<string>").alias("children"), F.lit(None).cast("string").alias("summary"), none("array<string>").alias("keywords"), F.lit(0).alias("token_count"))
+    docs = v.select(kind).distinct().select("doc_id", F.lit("Label").alias("title"), F.lit("x").alias("source"), F.lit("txt").alias("format"), F.lit(None).cast("string").alias("summary"), none("array<string>").alias("insights"), F.lit(None).cast("struct<owner:string,department:string,tags:array<string>,access_roles:array<string>,version:string,last_updated:string>").alias("meta"), F.lit("2024-01-01").alias("created_at"))
+    numbers = spark.createDataFrame([], "doc_id string, kn_idx int, label string, value string, unit string, section string")
+    packed = archive.pack(archive.parts(docs, rows, numbers, embeddings=bytes_))
+    back = archive.unpack(packed.select(F.col("doc_id").alias("path"), F.col("archive").alias("content")))
+    return back.select("path", F.length("embeddings").cast("bigint").alias("n_bytes"), F.md5(F.hex("embeddings").cast("binary")).alias("md5"), F.col("manifest.embedding_dims").alias("dims"), F.col("manifest.quantization").alias("quantization"), F.col("manifest.section_count").alias("n_sections"))
+
+
+def archive_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line shows of archives of all parts."""
+    none = F.array().cast
+    p = corpus.table(spark, sf_dir, "part")
+    docs = p.select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_name").alias("title"), F.concat(F.lit("/in/"), "p_brand").alias("source"), F.lit("txt").alias("format"), F.when(F.col("p_size") > 25, F.concat(F.lit("About "), "p_name")).alias("summary"), none("array<string>").alias("insights"), F.lit(None).cast("struct<owner:string,department:string,tags:array<string>,access_roles:array<string>,version:string,last_updated:string>").alias("meta"), F.lit("2024-01-01").alias("created_at"))
+    rows, numbers = pipeline.process(corpus.figure_lines(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("title", F.lit("Figures")).withColumn("level", F.lit(1)))
+    rows = rows.select("doc_id", "sec_idx", "id", "title", "level", "text", none("array<struct<table_id:string,caption:string,headers:array<string>,rows:array<array<string>>>>").alias("tables"), none("array<struct<image_id:string,alt:string,asset_path:string>>").alias("images"), "parent_id", "children", F.lit(None).cast("string").alias("summary"), "keywords", "token_count")
+    packed = archive.pack(archive.parts(docs, rows, numbers))
+    return archive.info(archive.unpack(packed.select(F.col("doc_id").alias("path"), F.col("archive").alias("content"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         section_tree, section_children, table_normalise, keywords_topk, figures, key_numbers_top, doc_slug, source_label, retrieval_tokens, postings_df, postings, bm25_topk, bm25_document, dense_topk,
         cosine_pairs, semantic_edges, structural_edges, rrf_fuse, graph_expand, hybrid_topk, porter_bm25, query_confidence, extractive_answer, key_number_match, layer_route, layered_answers, answer_flags,
         quantize_int8, quantize_binary, quantize_float16, normalized_vectors, doc_fingerprint, stale_documents, html_sections, markdown_sections, pdf_headings, phase_rollup, local_judge,
-        verdict_parse, wordpiece_encode, archive_roundtrip,
+        verdict_parse, wordpiece_encode, archive_roundtrip, stored_index_topk, stored_index_stats, stemmed_hybrid, rerank_topk, embedded_sections, key_numbers_kept, model_judge, archive_vectors, archive_info,
     )
 } | files.QUERIES

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.functions import words
+from foliospark.functions import porter, words
+from foliospark.operators import answers, judge
 from foliospark.operators import key_numbers as kn
 from foliospark.plans import files
 from foliospark.plans.corpus import QUESTIONS
@@ -96,12 +97,51 @@ tok AS (SELECT doc_id, sec_idx, col, i AS pos, ts[i + 1] AS term FROM (SELECT *,
 len_ AS (SELECT doc_id, sec_idx, CAST(sum(len(ts)) AS BIGINT) AS length FROM both_ GROUP BY ALL)"""
 
 
-def bm25(asked: str, scope: str) -> str:
+# Porter's rules as regular expressions: C and V are runs of consonants and vowels, y being a vowel after a consonant.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_MEASURE1, _MEASURE2, _ONE = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$"
+_VOWEL, _SHORT = f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
+
+
+def _cut(n: int) -> str:
+    return f"left(x, length(x) - {n})"
+
+
+def _swapped(rules: dict[str, str]) -> str:
+    cases = [f"WHEN x LIKE '%{e}' THEN CASE WHEN regexp_matches({_cut(len(e))}, '{_MEASURE1}') THEN {_cut(len(e))} || '{to}' ELSE x END" for e, to in sorted(rules.items(), key=lambda r: -len(r[0]))]
+    return f"CASE {' '.join(cases)} ELSE x END"
+
+
+def stemmed(words_: str) -> str:
+    """stm (w, s): the stem of every w of the relation `words_`."""
+    four = " ".join(
+        f"WHEN x LIKE '%{e}' THEN CASE WHEN regexp_matches({_cut(len(e))}, '{_MEASURE2}')" + (f" AND regexp_matches({_cut(3)}, '[st]$')" if e == "ion" else "") + f" THEN {_cut(len(e))} ELSE x END" for e in sorted(porter.STEP4, key=len, reverse=True)
+    )
+    steps = (
+        f"CASE WHEN x LIKE '%sses' OR x LIKE '%ies' THEN {_cut(2)} WHEN x LIKE '%ss' THEN x WHEN x LIKE '%s' THEN {_cut(1)} ELSE x END",
+        f"CASE WHEN x LIKE '%eed' THEN CASE WHEN regexp_matches({_cut(3)}, '{_MEASURE1}') THEN {_cut(1)} ELSE x END WHEN x LIKE '%ed' AND regexp_matches({_cut(2)}, '{_VOWEL}') THEN {_cut(2)} || '*' WHEN x LIKE '%ing' AND regexp_matches({_cut(3)}, '{_VOWEL}') THEN {_cut(3)} || '*' ELSE x END",
+        # a star marks a word that has lost its ending
+        f"CASE WHEN NOT x LIKE '%*' THEN x WHEN regexp_matches(x, '(at|bl|iz)\\*$') THEN {_cut(1)} || 'e' WHEN length(x) > 2 AND x[-2] = x[-3] AND regexp_matches(x, '[^aeioulsz]\\*$') THEN {_cut(2)} WHEN regexp_matches({_cut(1)}, '{_ONE}') AND regexp_matches({_cut(1)}, '{_SHORT}') THEN {_cut(1)} || 'e' ELSE {_cut(1)} END",
+        f"CASE WHEN x LIKE '%y' AND regexp_matches({_cut(1)}, '{_VOWEL}') THEN {_cut(1)} || 'i' ELSE x END",
+        _swapped(porter.STEP2), _swapped(porter.STEP3), f"CASE {four} ELSE x END",
+        f"CASE WHEN x LIKE '%e' AND (regexp_matches({_cut(1)}, '{_MEASURE2}') OR regexp_matches({_cut(1)}, '{_ONE}') AND NOT regexp_matches({_cut(1)}, '{_SHORT}')) THEN {_cut(1)} ELSE x END",
+        f"CASE WHEN x LIKE '%ll' AND regexp_matches({_cut(1)}, '{_MEASURE2}') THEN {_cut(1)} ELSE x END",
+    )
+    chain = [f"st0 AS (SELECT w, w AS x FROM {words_} WHERE regexp_full_match(w, '[a-z]{{3,20}}'))"]
+    chain += [f"st{n} AS (SELECT w, {sql} AS x FROM st{n - 1})" for n, sql in enumerate(steps, 1)]
+    return ",\n".join([*chain, f"stm AS (SELECT w, x AS s FROM st{len(steps)} UNION ALL SELECT w, w FROM {words_} WHERE NOT regexp_full_match(w, '[a-z]{{3,20}}'))"])
+
+
+def bm25(asked: str, scope: str, stem: bool = False, sections: str = SECTIONS) -> str:
     """sco: (qid, doc_id, sec_idx, score); `asked` defines q(qid, question[, only_])."""
+    if stem:
+        plain = bm25(asked, scope, sections=sections)
+        own = f"vt AS (SELECT term AS w FROM tok0 UNION SELECT term FROM wt0), {stemmed('vt')},\ntok AS (SELECT doc_id, sec_idx, col, pos, s AS term FROM tok0 JOIN stm ON term = w), wt AS (SELECT qid, u, m, nth, s AS term FROM wt0 JOIN stm ON term = w),\nhit AS ("
+        return plain.replace("tok AS (", "tok0 AS (").replace("wt AS (", "wt0 AS (").replace("hit AS (", own)
     per = "d." if scope == "document" else ""
     keys = ", doc_id" if scope == "document" else ""
     only = " WHERE q.only_ IS NULL OR q.only_ = t.doc_id" if "only_" in asked else ""
-    return f"""{SECTIONS},{TOKENS},{asked},
+    return f"""{sections},{TOKENS},{asked},
 un AS (SELECT DISTINCT qid, u FROM (SELECT qid, unnest({query_units('question')}) AS u FROM q)),
 pt AS (SELECT qid, u, {index_tokens('u')} AS ws FROM un),
 wt AS (SELECT qid, u, len(ws) AS m, i AS nth, ws[i + 1] AS term FROM (SELECT *, unnest(range(len(ws))) AS i FROM pt)),
@@ -185,6 +225,50 @@ j3 AS (SELECT k.conv_id, k.turn, k.c, len(rn) AS n_rn, greatest(coalesce(hits, 0
   FROM kw k LEFT JOIN nh ON k.conv_id = nh.conv_id AND k.turn = nh.turn),
 j4 AS (SELECT *, CAST(0.5 AS DOUBLE) * num_ratio + CAST(0.3 AS DOUBLE) * kw_ratio + CAST(0.2 AS DOUBLE) * phrase_ratio AS b FROM j3)"""
 
+
+def hybrid(stem: bool) -> str:
+    return (
+        f"WITH RECURSIVE {bm25('q AS (SELECT doc_id AS qid, doc_id AS only_, title AS question FROM sec WHERE sec_idx = 1)', 'document', stem)},{TREE.replace(SECTIONS + ',', '')},{EDGES}, r0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, sec_idx) - 1 AS rank FROM sco), f AS (SELECT qid, sec_idx, CAST(2 AS DOUBLE) / (rank + 61) AS s FROM r0 WHERE rank < 24), u AS (SELECT * FROM f UNION ALL SELECT qid, to_idx, {ALPHA} * weight * s FROM f JOIN edge ON qid = doc_id AND sec_idx = from_idx WHERE edge_type <> 'parent'), g AS (SELECT qid, sec_idx, sum(s) AS score FROM u GROUP BY qid, sec_idx), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, sec_idx) - 1 AS rank FROM g) SELECT qid, sec_idx, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank < 8"
+    )
+
+
+NEW_SECTIONS = SECTIONS.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)")
+RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id, sec_idx) - 1 AS rank FROM sco) SELECT CAST(qid AS BIGINT) AS qid, doc_id, sec_idx, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank < 24"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _reply(prompt: str) -> str:
+    return f"CASE WHEN length({prompt}) % 3 = 0 THEN 'I''m sorry, that is not found here.' ELSE {prompt}[-40:] END"
+
+
+def _refused(reply: str) -> str:
+    return f"(trim({reply}) = '' OR {any_of(f'lower({reply}[1:160])', words.REFUSAL_MARKERS)})"
+
+
+# Layers 0 and 1 as in layer_route; the prompts of the others, and what a stand-in model says to them.
+_ASK = "chr(10) || chr(10) || 'Question: ' || question"
+_HINT = f"CASE WHEN {any_of('lower(trim(question))', words.ENUMERATION_MARKERS)} THEN {_quoted(answers.ENUMERATE)} ELSE '' END"
+_MORE = "'[§2] More' || chr(10) || 'of ' || p_brand"
+LAYERED = f"""WITH {NUMBERS},{PART_ASKED},{MATCHED},
+tx AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY line) AS answer FROM ln GROUP BY doc_id),
+z AS (SELECT pq.qid, pq.question, tx.answer, CASE WHEN {any_of('lower(question)', words.SUMMARY_MARKERS)} THEN summary WHEN {any_of('lower(question)', words.INSIGHT_MARKERS)} THEN CASE WHEN len(insights) > 0 THEN array_to_string(list_transform(insights, lambda i: '• ' || i), chr(10)) END
+  WHEN NOT {any_of('lower(trim(question))', words.COMPLEX_MARKERS)} AND label IS NOT NULL THEN label || ': ' || value || CASE WHEN coalesce(unit, '') <> '' THEN ' ' || unit ELSE '' END || ' (source: §1)' END AS zero
+  FROM pq LEFT JOIN mat ON pq.qid = mat.qid JOIN tx ON pq.qid = tx.doc_id),
+y AS (SELECT *, {confidence('question', 'answer')} AS conf FROM z),{extractive('z', 'qid')},
+u AS (SELECT y.*, p_size % 2 = 0 AS more, p_brand, CASE WHEN conf >= 0.6 AND NOT {any_of('lower(trim(y.question))', words.COMPLEX_MARKERS)} THEN extract END AS one FROM y LEFT JOIN ext ON y.qid = ext.qid JOIN part ON p_partkey = y.qid),
+w1 AS (SELECT *, {_quoted(answers.TELL2.replace('{top}', '§1'))} || answer[1:{answers.SECTION_CHARS}] || {_ASK} AS p2,
+  {_quoted(answers.TELL3)} || {_HINT} || chr(10) || chr(10) || '[§1] ' || chr(10) || answer[1:{answers.MULTI_CHARS}] || CASE WHEN more THEN chr(10) || chr(10) || {_MORE} ELSE '' END || {_ASK} AS p3,
+  {_quoted(answers.TELL4)} || {_HINT} || chr(10) || chr(10) || '[§1] ' || chr(10) || answer[1:{answers.FALLBACK_CHARS}] || CASE WHEN more THEN chr(10) || chr(10) || {_MORE} ELSE '' END || {_ASK} AS p4 FROM u),
+w2 AS (SELECT *, {_reply('p2')} AS r2, {_reply('p3')} AS r3, {_reply('p4')} AS r4 FROM w1),
+w3 AS (SELECT *, CASE WHEN zero IS NOT NULL THEN 0 WHEN one IS NOT NULL THEN 1 WHEN conf >= {answers.L2} AND NOT ({_refused('r2')} AND more) THEN 2 WHEN more AND NOT {_refused('r3')} THEN 3 ELSE 4 END AS layer FROM w2)
+SELECT qid, CASE layer WHEN 0 THEN zero WHEN 1 THEN one WHEN 2 THEN r2 WHEN 3 THEN r3 ELSE r4 END AS answer,
+  CASE WHEN layer = 0 THEN '' WHEN layer < 3 THEN '§1' WHEN more THEN '§1 §2' ELSE '§1' END AS citations, CAST(layer AS INTEGER) AS layer_used,
+  CAST(CASE layer WHEN 2 THEN {word_count('p2')} + {word_count('r2')} WHEN 3 THEN {word_count('p3')} + {word_count('r3')} WHEN 4 THEN {word_count('p4')} + {word_count('r4')} ELSE 0 END AS INTEGER) AS tokens_used,
+  round(CASE layer WHEN 0 THEN 1 WHEN 3 THEN 0.6 WHEN 4 THEN 0.4 ELSE conf END, 6) AS confidence FROM w3"""
+
 ORACLES = {
     "section_tree": f"WITH RECURSIVE {TREE} SELECT doc_id, sec_idx, level, CAST(depth AS INTEGER) AS depth, parent_idx, id, parent_id, CAST(floor({word_count('text')} * CAST(1.3 AS DOUBLE)) AS INTEGER) AS token_count FROM tree",
     "section_children": f"WITH RECURSIVE {TREE}, c AS (SELECT doc_id, parent_idx AS sec_idx, count(*) AS n, string_agg(id, ' ' ORDER BY sec_idx) AS ids FROM tree WHERE parent_idx IS NOT NULL GROUP BY doc_id, parent_idx) SELECT t.doc_id, t.sec_idx, CAST(coalesce(n, 0) AS INTEGER) AS n_children, coalesce(ids, '') AS children FROM tree t LEFT JOIN c ON t.doc_id = c.doc_id AND t.sec_idx = c.sec_idx",
@@ -214,7 +298,8 @@ SELECT a.doc_id, a.i AS from_idx, b.i AS to_idx, round(list_dot_product(a.e, b.e
     "structural_edges": f"WITH RECURSIVE {TREE},{EDGES} SELECT * FROM edge",
     "rrf_fuse": f"WITH {LISTS}, u AS (SELECT qid, sec_idx, CAST(2 AS DOUBLE) / (rank + 61) AS s FROM ra WHERE rank < 24 UNION ALL SELECT qid, sec_idx, CAST(1.5 AS DOUBLE) / (rank + 61) FROM rb WHERE rank < 24) SELECT qid, sec_idx, round(sum(s), 9) AS score FROM u GROUP BY qid, sec_idx",
     "graph_expand": f"WITH RECURSIVE {TREE},{EDGES}, ra AS (SELECT doc_id AS qid, sec_idx, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, sec_idx) - 1 AS rank FROM sec), f AS (SELECT qid, sec_idx, CAST(2 AS DOUBLE) / (rank + 61) AS s FROM ra WHERE rank < 3), u AS (SELECT * FROM f UNION ALL SELECT qid, to_idx, {ALPHA} * weight * s FROM f JOIN edge ON qid = doc_id AND sec_idx = from_idx WHERE edge_type <> 'parent') SELECT qid, sec_idx, round(sum(s), 9) AS score FROM u GROUP BY qid, sec_idx",
-    "hybrid_topk": f"WITH RECURSIVE {bm25('q AS (SELECT doc_id AS qid, doc_id AS only_, title AS question FROM sec WHERE sec_idx = 1)', 'document')},{TREE.replace(SECTIONS + ',', '')},{EDGES}, r0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, sec_idx) - 1 AS rank FROM sco), f AS (SELECT qid, sec_idx, CAST(2 AS DOUBLE) / (rank + 61) AS s FROM r0 WHERE rank < 24), u AS (SELECT * FROM f UNION ALL SELECT qid, to_idx, {ALPHA} * weight * s FROM f JOIN edge ON qid = doc_id AND sec_idx = from_idx WHERE edge_type <> 'parent'), g AS (SELECT qid, sec_idx, sum(s) AS score FROM u GROUP BY qid, sec_idx), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, sec_idx) - 1 AS rank FROM g) SELECT qid, sec_idx, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank < 8",
+    "hybrid_topk": hybrid(False),
+    "stemmed_hybrid": hybrid(True),
     "query_confidence": f"WITH {EXCHANGES} SELECT conv_id, turn, round({confidence('question', 'answer')}, 6) AS confidence FROM x",
     "extractive_answer": f"WITH {EXCHANGES},{extractive('x', 'conv_id, turn')} SELECT x.conv_id, x.turn, coalesce(extract, '') AS extract FROM x LEFT JOIN ext ON x.conv_id = ext.conv_id AND x.turn = ext.turn",
     "key_number_match": f"WITH {NUMBERS},{PART_ASKED},{MATCHED} SELECT qid, label, value, unit FROM mat",
@@ -233,9 +318,9 @@ SELECT conv_id, turn, {any_of('q', words.COMPLEX_MARKERS)} AS complex, regexp_fu
     "quantize_int8": f"WITH {INT8} SELECT vec_id, array_to_string(q, ' ') AS codes, round(list_sum(list_transform(q, lambda x: CAST(CAST(x / CAST(127 AS DOUBLE) AS FLOAT) AS DOUBLE))), 6) + 0 AS sum_back FROM c",
     "quantize_binary": """WITH b AS (SELECT vec_id, rpad(array_to_string(list_transform(embedding[1:61], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 64, '0') AS s FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(range(16), lambda i: printf('%x', list_position(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], substr(s, i * 4 + 1, 4)) - 1)), '') AS bits, CAST(8 AS INTEGER) AS stride FROM b""",
-    "normalized_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: CAST(CAST(CASE WHEN sqrt(list_dot_product(e, e)) <= 1e-12 THEN x ELSE x / sqrt(list_dot_product(e, e)) END AS FLOAT) AS DOUBLE)) AS n FROM v)
+    "normalized_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: CAST(CAST(CASE WHEN sqrt(list_dot_product(e, e)) <= 1e-12 THEN x ELSE x / sqrt(list_dot_product(e, e)) END AS FLOAT) AS DOUBLE)) AS n FROM v)
 SELECT vec_id, round(list_dot_product(n, n), 5) AS norm, round(n[1], 5) AS first FROM n""",
-    "doc_fingerprint": f"""WITH RECURSIVE {TREE}, h AS (SELECT doc_id, count(*) AS n_sections, string_agg(hex(encode(id)) || lpad(hex(length(text)), 8, '0') || hex(encode(text[1:200])), '' ORDER BY sec_idx) AS h FROM tree GROUP BY doc_id)
+    "doc_fingerprint": f"""WITH RECURSIVE {TREE}, h AS (SELECT doc_id, count(*) AS n_sections, string_agg(hex(encode(id)) || lpad(hex(length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))), 8, '0') || hex(encode(text[1:200])), '' ORDER BY sec_idx) AS h FROM tree GROUP BY doc_id)
 SELECT doc_id, n_sections, sha256(unhex(hex(encode(CAST(doc_id AS VARCHAR))) || lpad(hex(n_sections), 8, '0') || h)) AS fingerprint FROM h""",
     "stale_documents": f"WITH {SECTIONS}, n AS (SELECT doc_id, count(*) AS n_sections FROM sec GROUP BY doc_id) SELECT doc_id, n_sections FROM n WHERE doc_id % 3 = 0 OR n_sections % 2 <> 0",
     "markdown_sections": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), m AS (SELECT doc_id, i, CASE WHEN i % 5 = 1 THEN repeat('#', i % 3 + 1) || ' ' || ls[i + 1] WHEN i % 7 = 3 THEN '```' ELSE ls[i + 1] END AS s FROM (SELECT *, unnest(range(len(ls))) AS i FROM l)),
@@ -256,4 +341,18 @@ CAST(CASE WHEN c = '' OR c LIKE 'not found in context%' OR c LIKE 'not found in
 WHEN b >= 0.7 THEN 10 WHEN b >= 0.55 THEN 9 WHEN b >= 0.4 THEN 8 WHEN b >= 0.28 THEN 7 WHEN b >= 0.18 THEN 6 WHEN b >= 0.1 THEN 5 WHEN b >= 0.04 THEN 3 ELSE 0 END AS INTEGER) AS score FROM j4""",
     "archive_roundtrip": f"WITH RECURSIVE {TREE},{KEYWORD_PARTS}, c AS (SELECT doc_id, parent_idx AS sec_idx, string_agg(id, ' ' ORDER BY sec_idx) AS ids FROM tree WHERE parent_idx IS NOT NULL GROUP BY doc_id, parent_idx) SELECT CAST(t.doc_id AS VARCHAR) AS doc_id, t.sec_idx, id, title, level, text, parent_id, coalesce(ids, '') AS children, coalesce(keywords, '') AS keywords, CAST(floor({word_count('text')} * CAST(1.3 AS DOUBLE)) AS INTEGER) AS token_count FROM tree t LEFT JOIN c ON t.doc_id = c.doc_id AND t.sec_idx = c.sec_idx LEFT JOIN k ON t.doc_id = k.doc_id AND t.sec_idx = k.sec_idx",
     "verdict_parse": "SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 5 ELSE quality * 8 + toxic END AS INTEGER) AS score, CASE WHEN doc_id % 5 = 0 THEN 'parse error' ELSE 'because: yes' END AS reason FROM labels",
+    "porter_bm25": f"WITH {bm25(ASKED, 'corpus', True)}, {RANKED}",
+    "stored_index_topk": f"WITH {bm25(ASKED, 'corpus', True, NEW_SECTIONS)}, {RANKED}",
+    "stored_index_stats": f"WITH RECURSIVE {TREE},{EDGES}, e AS (SELECT doc_id, count(*) AS n FROM edge GROUP BY doc_id), s AS (SELECT doc_id, count(*) AS n FROM sec GROUP BY doc_id) SELECT s.doc_id, s.n AS n_sections, coalesce(e.n, 0) AS n_edges FROM s LEFT JOIN e ON s.doc_id = e.doc_id WHERE s.doc_id % 7 <> 0",
+    "rerank_topk": f"""WITH {LISTS}, h AS (SELECT qid, ra.sec_idx, rank, -CAST(abs(length(q.text) - length(sec.text)) AS DOUBLE) AS ce, count(*) OVER (PARTITION BY qid) AS many, CAST(length(sec.text) AS DOUBLE) AS own
+  FROM ra JOIN sec ON qid = sec.doc_id AND ra.sec_idx = sec.sec_idx JOIN sec q ON q.doc_id = qid AND q.sec_idx = 1 WHERE rank < 12),
+s AS (SELECT qid, sec_idx, rank, CASE WHEN many > 1 THEN ce ELSE own END AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) - 1 AS n FROM s) SELECT qid, sec_idx, CAST(n AS INTEGER) AS rank, score FROM r WHERE n < 8""",
+    "embedded_sections": f"""WITH {SECTIONS}, c AS (SELECT doc_id, sec_idx, title || ' ' || text AS t FROM sec), v AS (SELECT doc_id, sec_idx, CAST(length(t) AS DOUBLE) AS x, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS y, CAST(length(t) - length(replace(t, 'a', '')) AS DOUBLE) AS z FROM c)
+SELECT doc_id, sec_idx, {', '.join(f"round(CAST(CAST({a} / sqrt(x * x + y * y + z * z) AS FLOAT) AS DOUBLE), 5) AS {a}" for a in 'xyz')} FROM v""",
+    "key_numbers_kept": f"WITH {NUMBERS} SELECT doc_id, kn_idx, '§1' AS section, label, value, unit FROM kns WHERE kn_idx < 64 AND doc_id NOT IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0) UNION ALL SELECT p_partkey, CAST(0 AS INTEGER), '§1', 'Size', CAST(p_size AS VARCHAR), NULL FROM part WHERE p_size % 2 = 0",
+    "layered_answers": LAYERED,
+    "model_judge": f"WITH {JUDGED}, n AS (SELECT conv_id, turn, {len(judge.PROMPT.format(question='', reference='', candidate=''))} + length('turn ' || turn) + length(candidate) + length(reference) AS n FROM j0) SELECT conv_id, turn, CAST(n % 11 AS INTEGER) AS score, 'length ' || n AS reason FROM n",
+    "archive_vectors": f"""WITH {INT8}, h AS (SELECT label, vec_id, len(q) AS d, array_to_string(list_transform(q, lambda x: printf('%02X', (x + 256) % 256)), '') AS h FROM c JOIN embeddings USING (vec_id))
+SELECT CAST(label AS VARCHAR) AS path, CAST(sum(d) AS BIGINT) AS n_bytes, md5(string_agg(h, '' ORDER BY vec_id)) AS md5, CAST(max(d) AS INTEGER) AS dims, 'int8' AS quantization, CAST(count(*) AS INTEGER) AS n_sections FROM h GROUP BY label""",
+    "archive_info": f"WITH {NUMBERS}, k AS (SELECT doc_id, count(*) AS n FROM kns WHERE kn_idx < 64 GROUP BY doc_id) SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS title, 'txt' AS format, '1.0' AS version, CAST(1 AS INTEGER) AS n_sections, CAST(coalesce(n, 0) AS INTEGER) AS n_key_numbers, CASE WHEN p_size > 25 THEN 'About ' || p_name ELSE '' END AS summary FROM part LEFT JOIN k ON doc_id = p_partkey",
 } | files.ORACLES

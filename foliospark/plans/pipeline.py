@@ -28,17 +28,24 @@ def enrich(sections: DataFrame, k: int = 8) -> DataFrame:
     return sections.withColumn("keywords", found)
 
 
-def document_key_numbers(sections: DataFrame, limit: int = 64) -> DataFrame:
-    """(doc_id, kn_idx, section, label, value, unit), section being the section's id."""
+def document_key_numbers(sections: DataFrame, limit: int = 64, present: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kn_idx, section, label, value, unit), section being the section's id.
+
+    Documents that already have key numbers, in `present`, keep those, and no others are looked for.
+    """
+    if present is not None:
+        have = present.select(F.col("doc_id").alias("h_")).distinct()
+        rest = document_key_numbers(sections.join(have, F.expr("doc_id = h_"), "left_anti"), limit)
+        return rest.unionByName(present.select(*rest.columns))
     ids = sections.select(F.col("doc_id").alias("d_"), F.col("sec_idx").alias("s_"), F.col("id").alias("section"))
     found = key_numbers(sections.select("doc_id", "sec_idx", "text"), limit)
     return found.join(ids, F.expr("doc_id = d_ AND sec_idx = s_")).select("doc_id", "kn_idx", "section", "label", "value", "unit")
 
 
-def process(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, key numbers) of raw sections."""
+def process(sections: DataFrame, present: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, key numbers) of raw sections; `present` has the key numbers of documents that come with some."""
     done = enrich(normalise(sections))
-    return done, document_key_numbers(done)
+    return done, document_key_numbers(done, present=present)
 
 
 def ingest(spark: SparkSession, path: str, registry: ParserRegistry | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

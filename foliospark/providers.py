@@ -96,3 +96,9 @@ def from_settings(url: str | None = None, model: str | None = None, key: str | N
     """A connector from arguments, else FOLIO_LLM_URL, FOLIO_LLM_MODEL and FOLIO_LLM_KEY, else None."""
     url, model, key = url or os.environ.get("FOLIO_LLM_URL"), model or os.environ.get("FOLIO_LLM_MODEL"), key or os.environ.get("FOLIO_LLM_KEY", "")
     return Retrying(ChatCompletions(url, model, key)) if url and model else None
+
+
+def judge_from_settings(url: str | None = None, model: str | None = None, key: str | None = None) -> Callable[[str], str] | None:
+    """The model that judges, from arguments, else FOLIO_JUDGE_URL, FOLIO_JUDGE_MODEL and FOLIO_JUDGE_KEY; without a key None: the local judge."""
+    url, model, key = url or os.environ.get("FOLIO_JUDGE_URL"), model or os.environ.get("FOLIO_JUDGE_MODEL"), key or os.environ.get("FOLIO_JUDGE_KEY", "")
+    return Retrying(ChatCompletions(url, model, key)) if url and model and key else None

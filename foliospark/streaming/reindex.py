@@ -5,47 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructType
 
-from foliospark.operators.index import fingerprints, postings, save_index, stale
+from foliospark.functions.porter import stems
+from foliospark.operators.index import StoredIndex, fingerprints, stale
 
 
-def reindex(spark: SparkSession, source: DataFrame, index_path: str, registry_path: str, checkpoint: str) -> StreamingQuery:
+def reindex(spark: SparkSession, source: DataFrame, index_path: str, checkpoint: str, stem=stems) -> StreamingQuery:
     """Start a query that re-indexes the documents of each micro-batch whose fingerprint is new.
 
-    `source` streams whole documents as rows (doc_id, sec_idx, id, title, text). Both tables are written by bucket of
-    doc_id with dynamic overwrite; a batch that is run again writes the same files.
+    `source` streams whole documents as rows (doc_id, sec_idx, id, title, text). A batch adds one segment with its changed
+    documents, whatever the size of the index; a batch that is run again finds them current, or writes the segment that
+    was left unfinished anew. Compact the index from time to time.
     """
-
-    def known(path: str, schema: StructType) -> DataFrame:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+    index = StoredIndex(spark, index_path, stem)
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
-        now = fingerprints(rows).persist()
-        registry = known(registry_path, _with_bucket(now))
-        new = stale(now, registry).select(F.col("doc_id").alias("d_"))
-        changed = rows.join(new, F.expr("doc_id = d_"), "left_semi")
+        now = fingerprints(rows)
+        changed = rows
+        if index.segments():
+            new = stale(now, index.registry()).select(F.col("doc_id").alias("d_"))
+            changed = rows.join(new, F.expr("doc_id = d_"), "left_semi")
         if not changed.isEmpty():
-            replace(spark, postings(changed), index_path, new, known)
-            replace(spark, now.join(new, F.expr("doc_id = d_"), "left_semi"), registry_path, new, known)
-        now.unpersist()
+            index.add(changed)
         rows.unpersist()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _with_bucket(rows: DataFrame) -> StructType:
-    return StructType([*rows.schema.fields]).add("bucket", LongType())
-
-
-def replace(spark: SparkSession, rows: DataFrame, path: str, documents: DataFrame, known) -> None:
-    """Write rows for `documents` (d_), keeping other documents' rows of the same buckets."""
-    old = known(path, _with_bucket(rows))
-    buckets = documents.select(F.pmod(F.xxhash64("d_"), F.lit(64)).alias("b_")).distinct()
-    rest = old.join(F.broadcast(buckets), F.expr("bucket = b_"), "left_semi").join(documents, F.expr("doc_id = d_"), "left_anti").drop("bucket")
-    staged = f"{path}.staged"  # a table can't be overwritten while it is read
-    rest.unionByName(rows).write.mode("overwrite").parquet(staged)
-    save_index(spark.read.parquet(staged), path)

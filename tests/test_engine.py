@@ -186,14 +186,83 @@ def test_semantic_edges_and_cache_keys(spark):
 
 
 def test_index_is_kept_by_document(spark, tmp_path):
-    sections = spark.createDataFrame([("a", 0, "", "one two"), ("b", 0, "", "two")], SECTION)
-    index.save_index(index.postings(sections), f"{tmp_path}/p")
-    assert spark.read.parquet(f"{tmp_path}/p").count() == 3
+    stored = index.StoredIndex(spark, f"file://{tmp_path}/index")
+    with pytest.raises(FileNotFoundError):
+        stored.registry()
+    schema = "doc_id string, sec_idx int, id string, title string, text string, parent_idx int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    vecs = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0])], "doc_id string, sec_idx int, vec array<float>")
+    stored.add(rows(("a", 0, "§1", "", "running dogs", None), ("a", 1, "§1.1", "", "two", 0), ("b", 0, "§1", "", "two dogs", None)), vectors=vecs)
+    asked = spark.createDataFrame([(1, "a", "run dog"), (2, "b", "dogs"), (3, None, "two")], "qid bigint, doc_id string, question string")
+    found = lambda i: sorted((r.qid, r.doc_id, r.sec_idx) for r in search.bm25(i, asked).collect())
+    assert found(stored) == [(1, "a", 0), (2, "b", 0), (3, "a", 1), (3, "b", 0)]
+    assert {(r.from_idx, r.to_idx, r.edge_type) for r in stored.edges().collect()} == {(1, 0, "parent"), (0, 1, "child")} and stored.vectors().count() == 2
+    stored.add(rows(("a", 0, "§1", "", "cats", None)))
+    assert found(stored) == [(2, "b", 0), (3, "b", 0)] and stored.edges().count() == 0 and stored.vectors().count() == 0
+    assert {(r.doc_id, r.n_sections, r.n_tokens) for r in stored.registry().collect()} == {("a", 1, 1), ("b", 1, 2)}
+    stored.forget(spark.createDataFrame([("b",)], "doc_id string"))
+    assert found(stored) == [] and [r.doc_id for r in stored.registry().collect()] == ["a"]
+    stored.add(rows(("b", 0, "§1", "", "dog", None)), segment=3)
+    stored.add(rows(("b", 0, "§1", "", "dog two", None)), segment=3)
+    assert found(stored) == [(2, "b", 0), (3, "b", 0)] and stored.segments() == [0, 1, 2, 3]
+    small = stored.compact(f"file://{tmp_path}/compact")
+    assert found(small) == found(stored) and small.segments() == [0] and small.registry().count() == 2
     registry = spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, fingerprint string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "doc_id string, fingerprint string")
     assert {r.doc_id for r in index.stale(now, registry).collect()} == {"b", "c"}
 
 
+def test_in_row_scores_are_those_of_the_token_table(spark):
+    texts = ["one two three", "two-two two two", "One. two; three one two", "", "running runs ran", "a b c a-b a b-c"]
+    rows = spark.createDataFrame([(d, i, t.split(" ")[0], t) for d in (1, 2) for i, t in enumerate(texts[d - 1 :])], "doc_id bigint, sec_idx int, title string, text string")
+    asked = spark.createDataFrame([(10, 1, "one two-three two-two"), (11, 1, "run"), (12, 2, "a-b b-c"), (13, 2, "of"), (14, 2, "one"), (15, 2, "")], "qid bigint, doc_id bigint, question string")
+    scores = lambda df: sorted((r.qid, r.doc_id, r.sec_idx, round(r.score, 9)) for r in df.collect())
+    for stem in (None, search.stems):
+        want = scores(search.bm25(rows, asked, stem=stem))
+        assert want and scores(search.bm25_within(rows, asked, stem=stem)) == want
+
+
+def test_retrieval_with_a_stored_index_is_that_of_the_sections(spark, tmp_path):
+    from foliospark import embedders
+    from foliospark.plans.questions import retrieve
+
+    rows = [(f"d{d}", i, f"§{i + 1}", t, f"{t} number {i} of {d}", None if i == 0 else 0) for d in range(3) for i, t in enumerate(["alpha report", "beta costs", "gamma costs", "delta"])]
+    sections = spark.createDataFrame(rows, "doc_id string, sec_idx int, id string, title string, text string, parent_idx int")
+    asked = spark.createDataFrame([(i, f"d{i}", q) for i, q in enumerate(["costs of beta", "reports", "delta numbers"])], "qid bigint, doc_id string, question string")
+    embed = lambda texts: [[len(t), t.count("a"), t.count("e")] for t in texts]
+    near = lambda q, p: p.str.len().astype("float64")
+    stored = index.StoredIndex(spark, f"file://{tmp_path}/index")
+    vecs = embedders.embed_sections(sections, embed)
+    stored.add(sections, edges=index.semantic_edges(vecs), vectors=vecs)
+    got = lambda **k: sorted((r.qid, r.sec_idx, r["rank"], round(r.score, 6)) for r in retrieve(asked, sections, **k).collect())
+    plain = got()
+    assert plain and got(index=stored, embed=embed) == got(embed=embed) != plain
+    ranked = got(embed=embed, score=near)
+    assert {q: [s for x, s, *_ in sorted(ranked, key=lambda r: r[2]) if x == q][0] for q in (0, 1, 2)} == {0: 0, 1: 0, 2: 0} and len(ranked) == 12
+
+
+def test_settings_choose_the_judge_and_find_the_model(monkeypatch, tmp_path):
+    from foliospark import embedders, providers
+
+    for name in ("FOLIO_JUDGE_URL", "FOLIO_JUDGE_MODEL", "FOLIO_JUDGE_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert providers.judge_from_settings() is None and providers.judge_from_settings("http://x", "m") is None
+    monkeypatch.setenv("FOLIO_JUDGE_KEY", "k")
+    assert providers.judge_from_settings("http://x", "m").inner.key == "k"
+    assert not embedders.model_present(str(tmp_path))
+    for path in embedders.model_files(str(tmp_path)):
+        open(path, "w").close()
+    assert embedders.model_present(str(tmp_path))
+
+
+def test_stems_of_batches(spark):
+    from foliospark.functions.porter import stem, stems
+
+    rows = [(["running", "ran", "ponies"],), ([],), (None,), (["running", None, "x"],)]
+    got = [r.s for r in spark.createDataFrame(rows[:3], "t array<string>").select(stems("t").alias("s")).collect()]
+    assert got == [[stem(w) for w in rows[0][0]], [], None]
+
+
 def test_quantisation(spark):
     v = [0.0, 1.0, -1.0, 0.5, -0.25, 0.1]
     df = spark.createDataFrame([(v,)], "v array<float>")

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from foliospark.operators.index import StoredIndex
 from foliospark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -13,7 +14,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-NATIVE = sorted(set(catalog.QUERIES) - {"semantic_edges", "porter_bm25", "layered_answers", "quantize_float16", "html_sections", "wordpiece_encode", "archive_roundtrip"})
+#: Parsers, stemmers, models and archives need Python; so do batched vector products.
+PYTHON = {
+    "semantic_edges", "dense_topk", "porter_bm25", "stemmed_hybrid", "stored_index_topk", "stored_index_stats", "rerank_topk", "embedded_sections", "layered_answers", "model_judge", "quantize_float16", "html_sections", "wordpiece_encode",
+    "archive_roundtrip", "archive_vectors", "archive_info", "delimited_sections", "html_tables", "html_title", "docx_sections", "xlsx_tables", "parser_registry",
+}
+NATIVE = sorted(set(catalog.QUERIES) - PYTHON)
 
 
 @pytest.mark.parametrize("name", NATIVE)
@@ -34,6 +40,24 @@ def test_scans_read_the_columns_they_need(spark):
         assert read == columns, (name, read)
 
 
+def scans(text):
+    return len(re.findall(r"\n[^\n]*FileScan parquet", "\n" + text))
+
+
+def test_tables_are_scanned_few_times(spark):
+    """BM25 reads the documents once for hits, once for their number and once for lengths; in-row BM25 reads sections and questions; the rest are edges."""
+    assert scans(plan(catalog.QUERIES["bm25_topk"](spark, DATA))) <= 3
+    assert scans(plan(catalog.QUERIES["hybrid_topk"](spark, DATA))) <= 7
+
+
+def test_terms_are_pushed_to_stored_postings(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, "§1", "", "one two"), ("b", 0, "§1", "", "three")], "doc_id string, sec_idx int, id string, title string, text string")
+    stored = StoredIndex(spark, f"file://{tmp_path}/index")
+    stored.add(rows)
+    text = plan(stored.tokens(spark.createDataFrame([("one",), ("two",)], "term string")))
+    assert "PushedFilters: [In(term, [one,two])]" in text or "In(term" in text
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(catalog.QUERIES["query_confidence"](spark, DATA))
     assert "EqualTo(role,user)" in text

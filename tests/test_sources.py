@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliospark import cli, providers
 from foliospark.errors import IntelligenceError, ParseError, UnsupportedFormatError
 from foliospark.functions import text
+from foliospark.operators.index import StoredIndex
 from foliospark.plans import pipeline
 from foliospark.plans.questions import evaluate
 from foliospark.sources import archive, delimited, docx, evalcases, html, markdown, pdf, xlsx
@@ -265,12 +266,14 @@ def test_connectors():
 def test_stream_reindexes_what_changed(spark, tmp_path):
     schema = "doc_id string, sec_idx int, id string, title string, text string"
     put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: reindex(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/registry", f"{tmp_path}/cp").awaitTermination()
+    run = lambda: reindex(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/index", f"{tmp_path}/cp", stem=None).awaitTermination()
     put(1, [("a", 0, "§1", "t", "one two"), ("b", 0, "§1", "t", "three")])
     run()
-    terms = lambda d: {r.term for r in spark.read.parquet(f"{tmp_path}/index").filter(F.col("doc_id") == d).collect()}
+    stored = StoredIndex(spark, f"file://{tmp_path}/index", stem=None)
+    asked = spark.createDataFrame([(w,) for w in "t one two three four".split()], "term string")
+    terms = lambda d: {r.term for r in stored.tokens(asked).filter(F.col("doc_id") == d).collect()}
     assert terms("a") == {"t", "one", "two"} and terms("b") == {"t", "three"}
-    put(2, [("a", 0, "§1", "t", "four")])
+    put(2, [("a", 0, "§1", "t", "four"), ("b", 0, "§1", "t", "three")])
     run()
     assert terms("a") == {"t", "four"} and terms("b") == {"t", "three"}
-    assert spark.read.parquet(f"{tmp_path}/registry").count() == 2
+    assert {r.doc_id: r.segment for r in stored.registry().collect()} == {"a": 1, "b": 0}
