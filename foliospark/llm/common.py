@@ -107,6 +107,23 @@ def small_or_salted_join(left: DataFrame, right: DataFrame, keys: list[str], sal
     return salted.join(copies, same, "left").drop("salt_", "r_salt_", *[f"r_{k}" for k in keys])
 
 
+#: A key is hot if it has more than one in so many of all rows, so there are fewer hot keys than that.
+HOT = 512
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows to a materialised table with one row per key, null keys aside; without the table's key and n.
+
+    The table says how many of the left rows have a key (n) and `total` how many rows there are. Keys with over one in HOT
+    of them, fewer than HOT by that, are broadcast, so their rows stay where they are; the other rows are shuffled by key.
+    """
+    renamed = right.withColumnRenamed(key, "k_").withColumnRenamed(n, "n_")
+    hot, cold = renamed.filter(F.col("n_") * HOT > total), renamed.filter(F.col("n_") * HOT <= total)
+    stay = left.join(F.broadcast(hot), left[key] == hot["k_"])
+    move = left.join(F.broadcast(hot.select("k_")), left[key] == F.col("k_"), "left_anti")
+    return stay.unionByName(move.join(cold, move[key] == cold["k_"])).drop("k_", "n_")
+
+
 def prefix_sums(totals: DataFrame, key: str, at: str, n: str, places: int, fan: int = 4096) -> DataFrame:
     """(key, at, before): the sum of n over smaller `at` (0 to places - 1) of the same key; `totals` has a row for each (key, at).
 

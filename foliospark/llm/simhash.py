@@ -2,14 +2,21 @@
 
 Fingerprints are the bitwise majority of the XXH64 (seed 42) of four-word shingles. Only distinct fingerprints are
 compared. Two fingerprints at most 4 bits apart agree on at least one of five bit blocks (pigeonhole), so each
-fingerprint goes to five buckets, one for each block's value; buckets over PART rows are cut into parts, and each pair
-of parts is a unit of work of its own. Within a unit, numpy compares tiles by exclusive-or and bit count, both sorted
-by population count, and skips pairs of tiles whose population counts differ by more than the radius: both prunings
-are lossless. A unit reports a spanning forest of its links, never all pairs; stars over the forest give components.
+fingerprint goes to five buckets, one for each block's value. Buckets over PART rows are cut into parts by population
+count, each pair of parts is a unit of work of its own, and a row goes only to units with parts whose population counts
+are within the radius of its own. Within a unit, numpy compares tiles by exclusive-or and bit count, both sorted by
+population count, and skips pairs of tiles whose population counts differ by more than the radius. All these prunings are
+lossless. A unit reports a spanning forest of its links, never all pairs; stars over the forest give components.
 
-Cost: with n distinct fingerprints, 5n rows are shuffled and about n * n * 5 / 2**14 pairs compared.
+Cost: with n distinct fingerprints, 5n rows are shuffled and n * n * 5 / 2**14 pairs stand in common buckets. Blocks prune
+most; population counts spare about two in five of the rest, and only in buckets over a tile, so from millions of
+distinct fingerprints on or among near copies.
 
-Defined cases: null or wordless text has fingerprint zero and links like any other; under four words, the whole sequence
+Hot groups: rows are joined to their fingerprint's group, and fingerprints to their component, by hot_join, so copies and
+near copies of one text don't meet in one task.
+
+Defined cases: a very long text is hashed whole, in one task, 8 bytes a shingle in memory; equal texts tie, and the least
+doc_id, then the first row, stays; null or wordless text has fingerprint zero and links like any other; under four words, the whole sequence
 is the one shingle; repeated rows share a fingerprint; a null doc_id counts as larger than any other and is a
 component's id only where no other is there; an empty table gives an empty result; further columns are ignored.
 """
@@ -21,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import bounded_batches, materialize, numbered, pick, read_table
+from foliospark.llm.common import bounded_batches, hot_join, materialize, numbered, pick, read_table
 from foliospark.llm.components import connected_components
 
 RADIUS = 4
@@ -32,7 +40,7 @@ SEED = 42
 #: Rows of a bucket that one unit of work takes from either side.
 PART = 2048
 #: Rows of a numpy tile.
-TILE = 512
+TILE = 256
 #: First bit and width of each block; RADIUS + 1 of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -160,35 +168,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*edges(held))
 
 
-def links(prints: DataFrame, part: int = PART) -> DataFrame:
-    """A forest (u, v) over fingerprints that has the same components as all links at most RADIUS bits apart.
+def units(prints: DataFrame, part: int = PART) -> DataFrame:
+    """(block, value, a, b, part, fp): the rows of every unit of work, which compares parts a and b of one bucket.
 
     `prints` has distinct fp.
     """
     blocks = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"CAST(shiftrightunsigned(fp, {at}) & {(1 << width) - 1} AS int)").alias("value")) for k, (at, width) in enumerate(BLOCKS)]))
     rows = prints.select("fp", blocks.alias("b")).select("fp", "b.block", "b.value")
-    # one row for each block value: 4 * 2**13 + 2**12 = 36,864 at most, whatever the input
-    parts = rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("block", "value", F.expr(f"CAST(ceil(n / {part}) AS int)").alias("parts"))
-    dealt = rows.join(F.broadcast(parts), ["block", "value"]).withColumn("part", F.expr("CAST(pmod(xxhash64(fp), parts) AS int)"))
-    units = dealt.withColumn("other", F.expr("explode(sequence(0, parts - 1))")).select("block", "value", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
+    rows = rows.withColumn("pop", F.bit_count("fp"))
+    cells = rows.groupBy("block", "value", "pop").agg(F.count("*").alias("n"))
+    by = W.partitionBy("block", "value")
+    upto = F.sum("n").over(by.orderBy("pop").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cells = cells.withColumn("total", F.sum("n").over(by)).filter("total > 1").withColumn("upto", upto)
+    # the parts that a population count's rows are dealt to, and those that counts within the radius are dealt to
+    cells = cells.withColumn("first", F.expr(f"CAST((upto - n) div {part} AS int)")).withColumn("last", F.expr(f"CAST((upto - 1) div {part} AS int)"))
+    near = by.orderBy("pop").rangeBetween(-RADIUS, RADIUS)
+    cells = cells.withColumn("from", F.min("first").over(near)).withColumn("to", F.max("last").over(near))
+    # a row for each block value, 4 * 2**13 + 2**12 = 36,864 at most, each with 65 population counts at most, whatever the input
+    parts = cells.groupBy("block", "value").agg(F.map_from_entries(F.collect_list(F.struct("pop", F.struct("first", "last", "from", "to")))).alias("cells"))
+    dealt = rows.join(F.broadcast(parts), ["block", "value"]).withColumn("c", F.element_at("cells", F.col("pop"))).select("fp", "block", "value", "c.*")
+    dealt = dealt.withColumn("part", F.expr("CAST(first + pmod(xxhash64(fp), last - first + 1) AS int)"))
+    return dealt.withColumn("other", F.expr("explode(sequence(from, to))")).select("block", "value", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
+
+
+def links(prints: DataFrame, part: int = PART) -> DataFrame:
+    """A forest (u, v) over fingerprints (distinct fp) that has the same components as all links at most RADIUS bits apart."""
     keys = ["block", "value", "a", "b"]
-    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u bigint, v bigint")
+    return units(prints, part).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u bigint, v bigint")
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of (doc_id, fp)."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fps")
+    """(fp, n, root, component_id) for each distinct fingerprint of (doc_id, fp); n: its rows. Materialised."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "fps")
     roots = connected_components(links(distinct.select("fp")))
-    member = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "members")
-    least = member.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return member.join(least, "root").select("fp", "root", "component_id")
+    member = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")), "members")
+    least = materialize(member.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("fps")), "components")
+    return materialize(hot_join(member, least, "root", "fps", member.count()).select("fp", "n", "root", "component_id"), "grouped")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id for each row."""
     prints = materialize(fingerprints(docs), "prints")
-    found = components(prints).withColumnRenamed("fp", "fp_")
-    return prints.join(found, prints["fp"] == found["fp_"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = hot_join(prints, components(prints), "fp", "n", prints.count())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -200,9 +222,8 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     frame, (doc_id, text) = numbered(docs, "doc_id", "text")
     rows = materialize(frame.withColumn("rid_", F.monotonically_increasing_id()), "dedup-rows")
     prints = materialize(rows.select("rid_", F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_add_fingerprints, "rid_ bigint, doc_id bigint, fp bigint"), "prints")
-    found = components(prints.select("doc_id", "fp")).withColumnRenamed("fp", "fp_")
     # components have distinct least ids, but where ids are missing or repeated they may share one: the root tells them apart
-    grouped = prints.join(found, prints["fp"] == found["fp_"]).select("rid_", "doc_id", F.col("root").alias("root"))
+    grouped = hot_join(prints, components(prints.select("doc_id", "fp")), "fp", "n", prints.count()).select("rid_", "doc_id", "root")
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid_")).alias("best")).select(F.col("best.rid_").alias("keep_"))
     return rows.join(stay, rows["rid_"] == stay["keep_"], "left_semi").select(*frame.columns).toDF(*docs.columns)
 

@@ -55,3 +55,14 @@ def test_running_sums_by_ranges(spark):
     many = common.running(df, by, {"nth": F.lit(1), "sum": F.col("n")}, one_window=5)
     assert one.columns == many.columns and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
     assert one.filter("source IS NULL").first()["nth"] == 101
+
+
+def test_hot_join_is_a_join(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "fp long, x int")
+    right = left.groupBy("fp").count().withColumnRenamed("count", "n").withColumn("root", F.col("fp") * 2)
+    want = sorted((fp, x, fp * 2) for fp, x in left.collect())
+    got = common.hot_join(left, right, "fp", "n", 300)
+    assert got.columns == ["fp", "x", "root"] and sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert common.hot_join(left.limit(0), right.limit(0), "fp", "n", 0).count() == 0

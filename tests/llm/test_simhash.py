@@ -78,6 +78,32 @@ def test_links_of_near_fingerprints_at_any_part_size(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_rows_go_to_parts_within_the_radius_only(spark):
+    """All in one bucket: fingerprints that share their first block, of population counts from 0 to 51."""
+    fps = [((1 << k) - 1) << 13 | (i << 40) & ((1 << 63) - 1) for k in range(0, 27) for i in range(8)]
+    fps = sorted(set(fps))
+    units = {}
+    for r in simhash.units(spark.createDataFrame([(f,) for f in fps], "fp bigint"), 16).filter("block = 0 AND value = 0").collect():
+        units.setdefault((r.a, r.b), {}).setdefault(r.part, []).append(r.fp.bit_count())
+    parts = {p: (min(v), max(v)) for (a, b), u in units.items() if a == b for p, v in u.items()}
+    assert len(parts) > 5
+    for (a, b), u in units.items():
+        if a != b and len(u) == 2:
+            assert min(u[b]) - max(u[a]) <= 4 + max(parts[a][1] - parts[a][0], parts[b][1] - parts[b][0])
+    assert len([u for u in units.values() if len(u) == 2]) < len(parts) * (len(parts) - 1) // 2
+
+
+def test_components_with_hot_nodes_are_the_same(spark, monkeypatch):
+    from foliospark.llm import common, components
+
+    edges = [(1, i) for i in range(2, 400)] + [(i, i + 1) for i in range(500, 540)] + [(399, 540)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    want = {x.node: x.root for x in connected_components(df).collect()}
+    monkeypatch.setattr(components, "SMALL_PAIRS", 0)
+    monkeypatch.setattr(common, "HOT", 8)
+    assert {x.node: x.root for x in connected_components(df).collect()} == want and set(want.values()) == {1}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     random.Random(1).shuffle(edges)
