@@ -9,11 +9,15 @@ continues are dropped and last tokens that allow the same continuations are merg
 When it outgrows MAX_CELLS it is thrown away and compiled anew from the next slice on; counts don't depend on that.
 
 Text becomes a stream of bytes with an end mark after each word, cut into chunks that numpy runs side by side. A chunk
-that has a word end maps every incoming state to one outgoing state, so the chunks' state maps compose in a prefix scan
-in which only the heads (up to a chunk's first word end) are run again with their true incoming states; chunks inside
-one long word are composed one by one.
-
-Defined cases: null text has 0 bytes and 0 tokens; white space has no tokens; strings of special tokens count as one
+that has a word end maps every incoming state to one outgoing state. A chunk inside a long word has a map that is known
+for some incoming states: it is run from the start state and from those that the chunk before may leave, all such chunks
+side by side, and equal chunks share one map. The maps are composed in a parallel prefix scan, by pointer doubling, which
+gives every chunk its true incoming state; where a map lacks a state that the scan reaches, it is run for it and the scan
+repeated. Machines of this kind forget their start soon, so two or three repeats do; after ROUNDS of them what is left of
+a word is followed symbol by symbol. With the true states, heads of chunks (up to the first word end) and inner chunks are
+run again side by side for their counts.
+
+Defined cases: a very long text is worked on in slices, a very long word in one; null text has 0 bytes and 0 tokens; white space has no tokens; strings of special tokens count as one
 token each, as is the library's default; repeated rows are counted one by one; an empty table gives an empty result;
 further columns are ignored.
 """
@@ -42,6 +46,8 @@ MAX_CELLS = 24_000_000
 #: Continuations up to which last tokens are merged by what they allow.
 MERGE_UPTO = 64
 END = 256
+#: Repeats of the prefix scan before a long word is followed symbol by symbol, and those that run chunks on suspicion.
+ROUNDS, SUSPECTED = 24, 2
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
 
@@ -106,7 +112,7 @@ class Machine:
             known[t] = spine[::-1]
         return known[t]
 
-    @functools.lru_cache(maxsize=2_000_000)  # noqa: B019  one machine lives as long as its worker
+    @functools.lru_cache(maxsize=1 << 16)  # noqa: B019  one machine lives as long as its worker; asked again mostly at once
     def compatible(self, a: str, b: str) -> bool:
         """Whether a then b is the encoding of both together: no merge ever joins their edges."""
         right, left, i, j = self._spine(a, 1), self._spine(b, 0), 0, 0
@@ -205,6 +211,80 @@ class Machine:
             got = self.table[states, columns]
         return got
 
+    def through(self, columns: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The states that chunks, one a column, leave when they are entered in the given states."""
+        for row in columns:
+            states = self.step(states, row) >> 8
+        return states
+
+    def incoming(self, columns: np.ndarray, inner: np.ndarray, leaving: np.ndarray) -> np.ndarray:
+        """The true incoming state of each chunk without a word end, by composing state maps.
+
+        `leaving` has the states that all chunks leave when they are entered in the start state, which are the true ones
+        for chunks with a word end.
+        """
+        text, same = np.unique(columns[:, inner], axis=1, return_inverse=True)
+        same = same.reshape(-1)
+        begins = np.concatenate([[True], np.diff(inner) > 1])  # the first chunk of each long word
+        true = np.where(inner > 0, leaving[inner - 1], 0)[begins]
+        known: list[dict[int, int]] = [{} for _ in range(text.shape[1])]  # by content: incoming state -> state it leaves
+
+        def learn(pairs: set[tuple[int, int]]) -> None:
+            new = np.array(sorted(p for p in pairs if p[1] not in known[p[0]]), np.int64).reshape(-1, 2)
+            if len(new):
+                for (c, s), to in zip(new.tolist(), self.through(text[:, new[:, 0]], new[:, 1]).tolist()):
+                    known[c][s] = to
+
+        for c, to in zip(same.tolist(), leaving[inner].tolist()):
+            known[c][0] = to
+        entries: list[list[int]] = [[0] for _ in inner]  # the incoming states that each chunk's map is taken for
+        for i, s in zip(np.nonzero(begins)[0].tolist(), true.tolist()):
+            entries[i] = [s]
+        state, found = np.full(len(inner), -1, np.int64), begins.copy()
+        state[begins] = true
+        goes_on = np.append(~begins[1:], False)  # whether the next chunk is of the same word
+        for n in range(ROUNDS):
+            learn({(c, s) for c, own in zip(same.tolist(), entries) for s in own})
+            # a node for each chunk and incoming state; its pointer is the one that the next chunk is entered with
+            size = np.array([len(own) for own in entries])
+            base = np.cumsum(size) - size
+            enters, lane = np.array([s for own in entries for s in own]), np.repeat(np.arange(len(inner)), size)
+            stop = len(enters)  # no further node
+            jump, lacking = np.full(stop + 1, stop), []
+            for node, (i, s) in enumerate(zip(lane.tolist(), enters.tolist())):
+                if goes_on[i]:
+                    to = known[same[i]][s]
+                    if to in entries[i + 1]:
+                        jump[node] = base[i + 1] + entries[i + 1].index(to)
+                    else:
+                        lacking.append((node, i + 1, to))
+            reached = np.zeros(stop + 1, bool)
+            reached[base[begins]] = True
+            for _ in range(len(inner).bit_length()):  # doubling: the maps of 1, 2, 4, ... chunks together
+                reached[jump[reached]] = True
+                jump = jump[jump]
+            at = np.nonzero(reached[:stop])[0]
+            state[lane[at]], found[lane[at]] = enters[at], True
+            if found.all():
+                return state
+            for node, i, to in lacking:
+                if n < SUSPECTED or reached[node]:
+                    while to not in entries[i]:
+                        entries[i].append(to)
+                        if not (reached[node] and goes_on[i] and to in known[same[i]]):
+                            break
+                        i, to = i + 1, known[same[i]][to]  # an equal chunk's map is known for it
+        for i in np.nonzero(~found)[0].tolist():  # in order, each after the chunk before
+            s = int(state[i - 1])
+            for c in columns[:, inner[i - 1]].tolist():
+                v = int(self.table[s, c])
+                if v < 0:
+                    self.compile(s, c)
+                    v = int(self.table[s, c])
+                s = v >> 8
+            state[i], found[i] = s, True
+        return state
+
     def run(self, stream: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """The change in the number of tokens at each place of a stream that ends with END."""
         if self.table.size > MAX_CELLS:
@@ -235,18 +315,15 @@ class Machine:
         head = np.where(has, ends.argmax(1), chunk - 1)
         leaving = np.zeros(lanes, np.int64)
         leaving[: len(state)] = state
-        # chunks inside one word: composed in order
-        for lane in np.nonzero(~has)[0].tolist():
-            s = int(leaving[lane - 1]) if lane else 0
+        # chunks inside one word again, side by side, from the states that the prefix scan gives
+        inner = np.nonzero(~has)[0]
+        if len(inner):
+            state = self.incoming(columns, inner, leaving)
             for k in range(chunk):
-                c = int(columns[k, lane])
-                v = int(self.table[s, c])
-                if v < 0:
-                    self.compile(s, c)
-                    v = int(self.table[s, c])
-                out[k, lane] = (v & 255) - 128
-                s = v >> 8
-            leaving[lane] = s
+                got = self.step(state, columns[k, inner])
+                out[k, inner] = (got & 255) - 128
+                state = got >> 8
+            leaving[inner] = state
         # heads again, side by side, from the states that the chunks before leave
         lane = np.nonzero(has)[0]
         lane = lane[lane > 0]

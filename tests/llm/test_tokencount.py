@@ -49,6 +49,20 @@ def test_chunk_size_changes_nothing():
         assert (machine.run(stream, chunk) == whole).all()
 
 
+def test_long_words_by_composed_maps(monkeypatch):
+    """Long words of every kind: the prefix scan, few repeats of it, and following symbols where it is cut short."""
+    machine = tokencount.counter().machine
+    r = np.random.default_rng(3)
+    words = [r.choice([*b"aeinthsrd"], 900), np.full(700, ord("a")), np.tile([*b"ab"], 300), np.tile([*b"the"], 200), np.tile([*b"ha"], 5), r.integers(97, 123, 800), np.full(300, ord("-"))]
+    stream = np.concatenate([x for w in [*words, *words[::-1]] for x in (w, [256])]).astype(np.int64)
+    whole = machine.run(stream, len(stream))
+    for rounds, suspected in ((24, 2), (1, 0), (0, 0), (3, 1)):
+        monkeypatch.setattr(tokencount, "ROUNDS", rounds)
+        monkeypatch.setattr(tokencount, "SUSPECTED", suspected)
+        for chunk in (7, 64):
+            assert (machine.run(stream, chunk) == whole).all(), (rounds, suspected, chunk)
+
+
 def test_pairs_are_compatible_just_if_they_encode_themselves():
     path = public_tokenizers.path("word_bpe_49k.json")
     machine = tokencount.counter().machine
