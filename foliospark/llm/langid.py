@@ -2,13 +2,14 @@
 
 Filters of several widths slide over byte embeddings; the maximum over a window, a rectifier and a softmax layer give the
 window's language. The network is trained with Adam on the driver from a bounded, documented sample: of each language
-up to SAMPLE documents drawn by hash, SAMPLE_ROWS in all, each with up to PIECES pieces of PIECE code points spread over
-its whole text. Prediction covers whole texts: every text is cut into overlapping windows of WINDOW bytes, windows
+about 2 * SAMPLE documents are drawn by hash, their whole texts are cut into pieces of PIECE code points, and of all these
+up to PIECES are drawn by hash, SAMPLE_ROWS in all languages together. Every place of a text is as likely to be learned
+from, and a long text gives more pieces than a short one. Prediction covers whole texts: every text is cut into overlapping windows of WINDOW bytes, windows
 are run in batches, and their probabilities are averaged, weighted by their bytes.
 
 Only documents with a language whose crc32(doc_id) mod 5 is not 0 are learned from; predictions see the text alone.
 
-Defined cases: text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to
+Defined cases: a very long text is predicted from all its windows, BATCH_WINDOWS at a time; text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to
 learn from; a null doc_id is not held out and not learned from; equal probabilities go by the smaller language name;
 repeated rows are predicted one by one; an empty table gives an empty result; further columns are ignored.
 """
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import bounded_batches, materialize, pick, read_table, small_or_salted_join
 
-#: Bounds of the training sample: documents of a language, and of all languages together.
-SAMPLE, SAMPLE_ROWS = 500, 20_000
-PIECES, PIECE = 4, 300
+#: Bounds of the training sample: documents drawn of a language (about twice as many), pieces of a language, and of all together.
+SAMPLE, PIECES, SAMPLE_ROWS = 500, 2000, 80_000
+PIECE = 300
 WINDOW = 256
 EMBED = 8
 #: (width, number of filters); narrower filters are padded with zeros to the widest.
@@ -131,29 +132,29 @@ def _held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """lang and pieces of the documents to learn from, per_lang of each language and `rows` in all at most.
+def sample(docs: DataFrame, per_lang: int = SAMPLE, pieces: int = PIECES, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, piece) to learn from, at most `pieces` of each language and `rows` in all.
 
     Languages are counted first, without reading texts; a document is drawn if its hash lies in the share of its
-    language that holds twice per_lang documents, so few rows are ranked however many there are.
+    language that holds twice per_lang documents, so few texts are cut however many there are.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "langs")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) < F.lit(2.0 * per_lang) / F.col("n")
-    drawn = small_or_salted_join(usable, counts, ["lang"]).filter(share).filter(F.col("text").rlike(r"\p{L}"))
-    spread = F.array(*[F.expr(f"substring(text, CAST(greatest(length(text) - {PIECE}, 0) * {k / (PIECES - 1)} AS int) + 1, {PIECE})") for k in range(PIECES)])
-    light = drawn.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), spread.alias("pieces"))
-    ranked = light.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "pieces"))).filter(F.col("rank") <= per_lang)
-    return ranked.orderBy("rank", "lang", "h").limit(rows).select("lang", "pieces")
+    drawn = small_or_salted_join(usable, counts, ["lang"]).filter(share)
+    cut = drawn.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{PIECE}}})"), 1)).alias("at", "piece")).filter(F.col("piece").rlike(r"\p{L}"))
+    keyed = cut.withColumn("h", F.xxhash64("doc_id", "at"))
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "at", "piece"))).filter(F.col("rank") <= pieces)
+    return ranked.orderBy("rank", "lang", "h").limit(rows).select("lang", "piece")
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Network | None:
-    found = sorted((r.lang, i, p) for r in sample(docs, per_lang, rows).collect() for i, p in enumerate(r.pieces) if p)
+def learn(docs: DataFrame, per_lang: int = SAMPLE, pieces: int = PIECES, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Network | None:
+    found = sorted((r.lang, r.piece) for r in sample(docs, per_lang, pieces, rows).collect())
     if not found:
         return None
-    langs = sorted({lang for lang, _, _ in found})
+    langs = sorted({lang for lang, _ in found})
     at = {lang: k for k, lang in enumerate(langs)}
-    return Network(langs).train([p.encode() for _, _, p in found], np.array([at[lang] for lang, _, _ in found]), steps)
+    return Network(langs).train([p.encode() for _, p in found], np.array([at[lang] for lang, _ in found]), steps)
 
 
 def predict_languages(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -42,7 +42,28 @@ def test_held_out_rows_and_labels_are_not_learned_from(spark):
     assert langid.learn(spark.createDataFrame([], SCHEMA)) is None
     got = langid.predict_languages(frame(spark, held), None).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
-    assert langid.sample(frame(spark, rows), per_lang=3, rows=7).count() == 7
+    assert langid.sample(frame(spark, rows), pieces=3, rows=7).count() == 7
+
+
+def test_every_place_of_a_text_is_learned_from(spark):
+    long = "the of and " * 100 + "\n".join(f"{i:05d} the" for i in range(300)) + " end of the text"
+    assert zlib.crc32(b"1") % 5
+    drawn = {r.piece for r in langid.sample(frame(spark, [(1, long, "en", "a", 1)]), pieces=1000).collect()}
+    assert drawn == {long[i : i + langid.PIECE] for i in range(0, len(long), langid.PIECE)}
+    few = {r.piece for r in langid.sample(frame(spark, [(1, long, "en", "a", 1)]), pieces=5).collect()}
+    assert len(few) == 5 and few < drawn and few != {long[i : i + langid.PIECE] for i in range(0, 5 * langid.PIECE, langid.PIECE)}
+
+
+def test_the_querys_held_out_accuracy(spark):
+    data = "/root/testdata/sf0.01"
+    got = langid.op9_langid(spark, data).filter("held_out AND lang_pred <> 'und'")
+    truth = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").filter("lang IS NOT NULL")
+    by = {r.lang: (r.right, r.n) for r in got.join(truth, "doc_id").groupBy("lang").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(
+        got.join(truth, "doc_id").filter("lang = lang_pred").groupBy("lang").count().withColumnRenamed("count", "right"), "lang").collect()}
+    assert len(by) >= 4 and sum(r for r, _ in by.values()) / sum(n for _, n in by.values()) >= 0.98 and all(r / n >= 0.9 for r, n in by.values()), by
+
+
+def test_empty(spark):
     assert langid.predict_languages(spark.createDataFrame([], SCHEMA), None).count() == 0
 
 
