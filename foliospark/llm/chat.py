@@ -12,10 +12,12 @@ of code point spans of the formatted text, one for each assistant message.
 A conversation's result is one text, so its turns meet in one task; before that, nothing groups by conversation but
 rankings, which keep a few rows each.
 
-Defined cases: null text and null role are empty; a null conv_id is a conversation of its own; a node whose parent is
+Defined cases: null text and null role are empty; a very long text is one turn like any other, in memory with its
+conversation; a null conv_id is a conversation of its own; a node whose parent is
 missing or itself is a root; nodes whose ancestors form a cycle have no root and give no path; of rows with one node_id
 the least (parent_id, role, text) counts; equal path scores go by the smaller leaf; an empty table gives an empty result
-(the query adds its own conversation); further columns are ignored.
+(the query adds its own conversation, which stays apart from one of the table with the same id); further columns, also of
+clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +84,13 @@ def _members(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
 
 
 def chat_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
-    """conv_id, leaf_id, branch (rank from 1), path_score, formatted and loss_spans of the best branches; None: of all."""
+    """conv_id, leaf_id, branch (rank from 1), path_score, formatted and loss_spans of the best branches; None: of all.
+
+    Nodes may have a column `part`, a string: conversations of different parts are different ones.
+    """
     key = F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string")))
+    if "part" in nodes.columns:
+        key = F.concat("part", key)
     rows = nodes.select(key.alias("ck"), "conv_id", F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     rows = rows.groupBy("ck", "node").agg(F.min(F.struct("parent", "role", "text", "score", "conv_id")).alias("m")).select("ck", "node", "m.*")
     rows = materialize(rows.filter("node IS NOT NULL"), "nodes")
@@ -126,15 +133,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 def as_replies(turns: DataFrame) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as reply trees without branches; rows of one turn go by role, then text."""
-    by = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    part = [c for c in turns.columns if c == "part"]
+    by = W.partitionBy(*part, "conv_id").orderBy("turn", "role", "text")
     rows = turns.withColumn("node_id", F.row_number().over(by).cast("bigint"))
-    return rows.select("conv_id", "node_id", F.expr("nullif(node_id - 1, 0)").alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
+    return rows.select(*part, "conv_id", "node_id", F.expr("nullif(node_id - 1, 0)").alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pick(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", ODD_TEXT), (-1, 1, "assistant", ODD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
-    out = chat_paths(as_replies(table.unionByName(own)))
+    both = table.withColumn("part", F.lit("")).unionByName(own.withColumn("part", F.lit("own:")))
+    out = chat_paths(as_replies(both))
     read = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select(
         "conv_id",
@@ -147,12 +156,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{ODD_TEXT}'), (-1, 1, 'assistant', '{ODD_TEXT}'))),
-t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS o, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+WITH c AS (SELECT 0 AS part, conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (1, -1, 0, 'user', '{ODD_TEXT}'), (1, -1, 1, 'assistant', '{ODD_TEXT}'))),
+t AS (SELECT part, conv_id, row_number() OVER (PARTITION BY part, conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS o, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
 e AS (SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS et, replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\N') AS er FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY o)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY o), '')) AS loss_sha256,
   CAST(sum({len(START)} + length(er) + 1 + length(et) + {len(STOP)} + 1) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY part, conv_id
 """

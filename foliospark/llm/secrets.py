@@ -14,8 +14,9 @@ Memory: one text at a time and the layers on the way to the one at work. A layer
 temporary file of the executor, is mapped from there and scanned to its end; n_cut counts the streams that are so long.
 Where the disk can't take one the task fails: nothing is left out.
 
-Defined cases: null text is empty; repeated rows are scanned one by one; an empty table gives an empty result; further
-columns are ignored by the report and kept by the redaction.
+Defined cases: null text is empty; a very long text is scanned whole, as bytes in memory; spans that begin together go by
+kind, then end, and a span found in several layers counts once; repeated rows are scanned one by one; an empty table gives
+an empty result; further columns, also of clashing names, are ignored by the report and kept by the redaction.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Queries are dealt into blocks too, and every pair of blocks is a unit of work: b
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither do rows without id;
 vectors of different lengths are padded with zeros; equal scores go by the smaller vec_id; repeated rows are candidates
 each, a repeated query id is asked once (with its least vector), and rows with the query's id are not its candidates;
-scores beyond 64 bits are clamped; an empty table gives an empty result; further columns are ignored.
+scores beyond 64 bits are clamped; an empty table gives an empty result; further columns, also of
+clashing names, are ignored by the query. There are no texts here, so no very long ones; a very long vector makes a block's
+bitmaps longer, BITS bits a component and row.
 """
 
 from __future__ import annotations

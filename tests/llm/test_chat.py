@@ -72,3 +72,20 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert chat.chat_paths(spark.createDataFrame([], NODES)).count() == 0
+
+
+def test_query_on_an_empty_table_and_on_one_with_its_own_id(spark, tmp_path):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/conversations.parquet")
+    [own] = chat.op2_chat(spark, f"{tmp_path}/empty").collect()
+    assert (own.conv_id, own.n_turns, own.loss_chars) == (-1, 2, len(chat.ODD_TEXT))
+    rows = [(-1, 0, "user", "theirs"), (-1, 5, "assistant", "a reply"), (3, 0, "assistant", "x")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/same/conversations.parquet")
+    got = sorted(tuple(r)[:4] for r in chat.op2_chat(spark, f"{tmp_path}/same").drop("turns_sha256", "loss_sha256").collect())
+    both = sorted([(-1, 2, 7), (-1, 2, len(chat.ODD_TEXT)), (3, 1, 1)])
+    assert [r[:3] for r in got] == both
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/same/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, chat.op2_chat(spark, f"{tmp_path}/same").collect())) == sorted(con.sql(chat.ORACLE).fetchall())

@@ -55,3 +55,11 @@ def test_sums_are_scores_up_to_a_constant():
     q = r.integers(-90, 90, 8).astype(float)
     got = sum(np.unpackbits(s.view(np.uint8), bitorder="little")[:130].astype(np.int64) << w for w, s in enumerate(index.sums(q)))
     assert len(set((got - v @ q).tolist())) == 1
+
+
+def test_query_ignores_clashing_columns(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(101)]
+    spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], f"{SCHEMA}, rid_ int, query_id string, score int, b int, q int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, topk.op7_topk(spark, str(tmp_path)).collect())) == plain(rows)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert topk.op7_topk(spark, f"{tmp_path}/none").count() == 0
