@@ -141,3 +141,43 @@ def test_base64_is_decoded_whatever_stands_around_or_in_it():
         assert {k for _, k, _ in spans} == {0, 2}, name
         assert all(13 <= s < e <= 13 + len(run) for s, _, e in spans), name
         assert secrets.may_matter(text.encode())
+
+
+def test_spans_of_planted_nests_by_composing_offsets():
+    """Random nests of encodings; the place of every secret follows from the encodings' own arithmetic."""
+    import random
+
+    r = random.Random(11)
+    b64 = lambda i: (i // 3 * 4 + i % 3, i // 3 * 4 + i % 3 + 2)  # noqa: E731  characters that a byte stands in
+    ways = {
+        "url": (lambda raw: "".join(f"%{b:02{r.choice('xX')}}" for b in raw), lambda s, e: (3 * s, 3 * e)),
+        "unicode": (lambda raw: "".join(f"\\u{b:04x}" for b in raw), lambda s, e: (6 * s, 6 * e)),
+        "hex escapes": (lambda raw: "".join(f"\\x{b:02x}" for b in raw), lambda s, e: (4 * s, 4 * e)),
+        "base64": (lambda raw: base64.b64encode(raw).decode(), lambda s, e: (b64(s)[0], b64(e - 1)[1])),
+    }
+    flat = {"zlib": zlib.compress, "bz2": bz2.compress, "zstd": zstandard.ZstdCompressor().compress}
+    for _ in range(150):
+        plant = r.choice([KEY[:-1], "AKIA" + "".join(r.choice("ABCXYZ0189") for _ in range(16)), "passwd: hunter22x", "0123456789abcdef" * 2])
+        raw = ("some " * r.randrange(9) + f"words, {plant}, more").encode()
+        want = {(k, s, e) for s, k, e in secrets.scan(raw.decode())}
+        assert want
+        for _ in range(r.randrange(1, 4)):
+            if r.random() < 0.2:
+                coded = base64.b64encode(r.choice([*flat.values()])(raw)).decode()
+                want = {(k, 0, len(coded)) for k, _, _ in want}
+            else:
+                encode, place = ways[r.choice([*ways])]
+                coded = encode(raw)
+                want = {(k, *place(s, e)) for k, s, e in want}
+            lead = "é lead " * r.randrange(3)
+            skip = len(lead.encode())
+            raw = f"{lead}{coded} tail".encode()
+            want = {(k, s + skip, e + skip) for k, s, e in want}
+        text = raw.decode()
+        shift = len(raw) - len(text)  # all characters of two bytes stand in the leads; offsets of the outermost are in characters
+        inner = {(k, s - (len(lead.encode()) - len(lead)), e - (len(lead.encode()) - len(lead))) for k, s, e in want}
+        assert shift == len(lead.encode()) - len(lead)
+        got = {(k, s, e) for s, k, e in secrets.find(text)[1]}
+        tight = [any(k == x and s <= a < b <= e and (e - s) - (b - a) <= 64 for x, a, b in got) for k, s, e in inner]
+        assert inner <= got or all(tight), (text, inner, got)
+        assert all(len(lead) <= s < e <= len(text) - len(" tail") for _, s, e in got), text
