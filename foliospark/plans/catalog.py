@@ -271,7 +271,8 @@ def quantize_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantize_float16(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantizer("float16")("embedding").alias("b"))
-    return v.select("vec_id", F.hex("b").alias("bytes"), F.array_join(vectors.dequantizer("float16", 64)("b"), " ").alias("back"))
+    total = F.aggregate(vectors.dequantizer("float16", 64)("b"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return v.select("vec_id", F.hex("b").alias("bytes"), (F.round(total, 6) + 0.0).alias("sum_back"))
 
 
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,9 +348,12 @@ def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "labels").select("doc_id", v["score"].alias("score"), v["reason"].alias("reason"))
 
 
+#: A vocabulary for the WordPiece query.
+PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz.,!?", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "and", "##ing", "##tion", "that", "##er", "##ly"]
+
+
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz.,!?", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "and", "##ing", "##tion", "that", "##er", "##ly"]
-    ids = wordpiece.encode_udf(vocabulary, 256)(F.col("text"))
+    ids = wordpiece.encode_udf(PIECES, 256)(F.col("text"))
     return corpus.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(ids, " ").alias("ids"))
 
 

@@ -141,6 +141,14 @@ def _section(doc: str, i: str, title: str, level: int, text: str, tables: str =
     return f"SELECT {doc} AS doc_id, " + _ROWS.format(i=i, title=title, level=level, text=text, tables=tables) + f" FROM q WHERE {where}"
 
 
+def unescaped(c: str) -> str:
+    """The pages' character references, which may lack their semicolon."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
+    return c
+
+
+_TITLE = "trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))"
 _NAME = "(n || CASE k % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END || ' \"' || b || '\"')"
 _GRID = """CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN b || '|' || s || '|/x|y|/z||' WHEN k % 3 = 0 THEN b || '|' || s || '|' || s || '/x|y|/z||'
   WHEN k % 3 = 1 AND k % 2 = 0 THEN b || '|' || s || '|/' || b || '|x|y/z||' WHEN k % 3 = 1 THEN b || '|' || s || '|' || s || '/' || b || '|x|y/z||'
@@ -157,7 +165,7 @@ ORACLES = {
         _section("'p-' || k", "1", "'Table'", 2, "'before Innerin after'", f"'tbl_001=' || CASE WHEN k % 4 = 0 THEN '' ELSE t END || '=A|B|C/' || {_GRID}"),
         _section("'p-' || k", "2", "'Inner'", 4, "'in'"),
     ]),
-    "html_title": "SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> '' THEN replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&amp;', '&') ELSE replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '&amp;', '&') END AS title FROM pages",
+    "html_title": f"""SELECT page_id, trim({unescaped(f"CASE WHEN {_TITLE} <> '' THEN {_TITLE} ELSE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) END")}) AS title FROM pages""",
     "docx_sections": f"WITH {_P} " + " UNION ALL ".join([
         _section("'report-' || k", "0", "'Introduction'", 1, "'lead in'", where="k % 2 = 1"),
         _section("'report-' || k", "k % 2", "n", 1, f"'body of it.' || {_NL} || {_NL} || '- item'"),

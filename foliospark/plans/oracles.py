@@ -6,6 +6,7 @@ from foliospark.functions import porter, words
 from foliospark.operators import answers, judge
 from foliospark.operators import key_numbers as kn
 from foliospark.plans import files
+from foliospark.plans.catalog import PIECES
 from foliospark.plans.corpus import QUESTIONS
 
 SECTIONS = """
@@ -269,6 +270,17 @@ SELECT qid, CASE layer WHEN 0 THEN zero WHEN 1 THEN one WHEN 2 THEN r2 WHEN 3 TH
   CAST(CASE layer WHEN 2 THEN {word_count('p2')} + {word_count('r2')} WHEN 3 THEN {word_count('p3')} + {word_count('r3')} WHEN 4 THEN {word_count('p4')} + {word_count('r4')} ELSE 0 END AS INTEGER) AS tokens_used,
   round(CASE layer WHEN 0 THEN 1 WHEN 3 THEN 0.6 WHEN 4 THEN 0.4 ELSE conf END, 6) AS confidence FROM w3"""
 
+_VOCABULARY = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PIECES))
+WORDPIECES = f"""WITH RECURSIVE voc AS (SELECT id, p LIKE '##%' AS inner_, CASE WHEN p LIKE '##%' THEN p[3:] ELSE p END AS body FROM (VALUES {_VOCABULARY}) AS x(id, p)),
+ws AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]') AS ws FROM benchmark),
+one AS (SELECT item_id, i, ws[i] AS w FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM ws)),
+pos AS (SELECT w, unnest(range(length(w))) AS pos FROM (SELECT DISTINCT w FROM one)),
+best AS (SELECT w, pos, arg_max(id, length(body)) AS id, max(length(body)) AS n FROM pos JOIN voc ON inner_ = (pos > 0) AND starts_with(w[pos + 1:], body) GROUP BY w, pos),
+path AS (SELECT DISTINCT w, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS ids FROM pos UNION ALL SELECT p.w, p.pos + b.n, list_append(p.ids, b.id) FROM path p JOIN best b ON p.w = b.w AND p.pos = b.pos),
+done AS (SELECT w, ids FROM path WHERE pos = length(w) AND length(w) <= 200),
+al AS (SELECT item_id, flatten(list(coalesce(ids, [{PIECES.index('[UNK]')}]) ORDER BY i)) AS ids FROM one LEFT JOIN done ON one.w = done.w GROUP BY item_id)
+SELECT item_id, array_to_string(list_concat(list_concat([{PIECES.index('[CLS]')}], coalesce(ids, [])[1:254]), [{PIECES.index('[SEP]')}]), ' ') AS ids FROM benchmark LEFT JOIN al USING (item_id)"""
+
 ORACLES = {
     "section_tree": f"WITH RECURSIVE {TREE} SELECT doc_id, sec_idx, level, CAST(depth AS INTEGER) AS depth, parent_idx, id, parent_id, CAST(floor({word_count('text')} * CAST(1.3 AS DOUBLE)) AS INTEGER) AS token_count FROM tree",
     "section_children": f"WITH RECURSIVE {TREE}, c AS (SELECT doc_id, parent_idx AS sec_idx, count(*) AS n, string_agg(id, ' ' ORDER BY sec_idx) AS ids FROM tree WHERE parent_idx IS NOT NULL GROUP BY doc_id, parent_idx) SELECT t.doc_id, t.sec_idx, CAST(coalesce(n, 0) AS INTEGER) AS n_children, coalesce(ids, '') AS children FROM tree t LEFT JOIN c ON t.doc_id = c.doc_id AND t.sec_idx = c.sec_idx",
@@ -355,4 +367,12 @@ SELECT doc_id, sec_idx, {', '.join(f"round(CAST(CAST({a} / sqrt(x * x + y * y +
     "archive_vectors": f"""WITH {INT8}, h AS (SELECT label, vec_id, len(q) AS d, array_to_string(list_transform(q, lambda x: printf('%02X', (x + 256) % 256)), '') AS h FROM c JOIN embeddings USING (vec_id))
 SELECT CAST(label AS VARCHAR) AS path, CAST(sum(d) AS BIGINT) AS n_bytes, md5(string_agg(h, '' ORDER BY vec_id)) AS md5, CAST(max(d) AS INTEGER) AS dims, 'int8' AS quantization, CAST(count(*) AS INTEGER) AS n_sections FROM h GROUP BY label""",
     "archive_info": f"WITH {NUMBERS}, k AS (SELECT doc_id, count(*) AS n FROM kns WHERE kn_idx < 64 GROUP BY doc_id) SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS title, 'txt' AS format, '1.0' AS version, CAST(1 AS INTEGER) AS n_sections, CAST(coalesce(n, 0) AS INTEGER) AS n_key_numbers, CASE WHEN p_size > 25 THEN 'About ' || p_name ELSE '' END AS summary FROM part LEFT JOIN k ON doc_id = p_partkey",
+    "quantize_float16": """WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+e AS (SELECT *, CASE WHEN x = 0 THEN -14 ELSE greatest(CAST(floor(log2(abs(x))) AS INTEGER), -14) END AS e FROM x), q AS (SELECT *, round_even(abs(x) / pow(2, e - 10), 0) AS q FROM e),
+b AS (SELECT vec_id, i, CAST((e + 14) * 1024 + q AS INTEGER) + CASE WHEN x < 0 THEN 32768 ELSE 0 END AS bits, q * pow(2, e - 10) * CASE WHEN x < 0 THEN -1 ELSE 1 END AS back FROM q)
+SELECT vec_id, string_agg(printf('%02X%02X', bits % 256, bits // 256), '' ORDER BY i) AS bytes, round(list_sum(list(back ORDER BY i)), 6) + 0 AS sum_back FROM b GROUP BY vec_id""",
+    "wordpiece_encode": WORDPIECES,
+    "html_sections": f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>(.*?)</article>', 1) AS h, regexp_extract(html, '(?s)<h1>(.*?)</h1>(.*?)</article>', 2) AS body FROM pages WHERE html LIKE '%<h1>%'),
+p AS (SELECT page_id, h, list_filter(list_transform(string_split(regexp_replace(body, '</p>', '<p>', 'g'), '<p>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ps FROM a)
+SELECT page_id, CAST(0 AS INTEGER) AS sec_idx, trim({files.unescaped('h')}) AS title, CAST(1 AS INTEGER) AS level, {files.unescaped("array_to_string(ps, ' ')")} AS text FROM p""",
 } | files.ORACLES
