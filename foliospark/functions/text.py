@@ -9,6 +9,10 @@ from foliospark.functions import words
 
 LINE_END = r"\r\n|[\r\n\f\x{85}\x{2028}\x{2029}]"
 
+# Where names are cut into words, and what separates them, in slugs and titles.
+SLUG_BOUNDARIES = ("([a-z])([A-Z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])")
+SLUG_SEPARATORS, TITLE_SEPARATORS = r"[\s_-]+", "[-_]+"
+
 
 def strings(items: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in items])
@@ -36,7 +40,7 @@ def title_case(text: Column) -> Column:
 
 
 def filename_title(stem: Column) -> Column:
-    return title_case(F.regexp_replace(stem, "[-_]+", " "))
+    return title_case(F.regexp_replace(stem, TITLE_SEPARATORS, " "))
 
 
 def stem(path: Column) -> Column:
@@ -47,10 +51,10 @@ def stem(path: Column) -> Column:
 
 def doc_slug(path: Column) -> Column:
     """Hyphens at case and digit boundaries and for separators; lower case."""
-    s = F.regexp_replace(stem(path), "([a-z])([A-Z])", "$1-$2")
-    s = F.regexp_replace(s, "([A-Za-z])([0-9])", "$1-$2")
-    s = F.regexp_replace(s, "([0-9])([A-Za-z])", "$1-$2")
-    return F.regexp_replace(F.lower(F.regexp_replace(s, r"[\s_-]+", "-")), "^-+|-+$", "")
+    s = stem(path)
+    for boundary in SLUG_BOUNDARIES:
+        s = F.regexp_replace(s, boundary, "$1-$2")
+    return F.regexp_replace(F.lower(F.regexp_replace(s, SLUG_SEPARATORS, "-")), "^-+|-+$", "")
 
 
 def source_label(source: Column, keep_full: bool = False) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from foliospark.functions.text import SLUG_BOUNDARIES, SLUG_SEPARATORS, TITLE_SEPARATORS
+
 
 def stem(path: str) -> str:
     name = re.split(r"[/\\]", path)[-1]
@@ -15,11 +17,11 @@ def title_case(text: str) -> str:
 
 
 def filename_title(name: str) -> str:
-    return title_case(re.sub(r"[-_]+", " ", name))
+    return title_case(re.sub(TITLE_SEPARATORS, " ", name))
 
 
 def slug(path: str) -> str:
-    s = re.sub("([a-z])([A-Z])", r"\1-\2", stem(path))
-    s = re.sub("([A-Za-z])([0-9])", r"\1-\2", s)
-    s = re.sub("([0-9])([A-Za-z])", r"\1-\2", s)
-    return re.sub(r"[\s_-]+", "-", s).lower().strip("-")
+    s = stem(path)
+    for boundary in SLUG_BOUNDARIES:
+        s = re.sub(boundary, r"\1-\2", s)
+    return re.sub(SLUG_SEPARATORS, "-", s).lower().strip("-")
