@@ -1,6 +1,6 @@
 """Command line: convert a folder to archives, show archives, ask questions of them.
 
-    python -m foliospark.cli convert IN OUT | info PATH | query PATH "question" [--no-llm]
+    python -m foliospark.cli convert IN OUT | info PATH | query PATH "question" [--no-llm] [--models FOLDER]
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark import providers
+from foliospark import embedders, providers
 from foliospark.errors import FolioError
 from foliospark.plans import pipeline
 from foliospark.plans.questions import answer_questions
@@ -47,12 +47,14 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return documents.select("doc_id", "title", "summary", "insights").unionByName(also), every, numbers.select("doc_id", "kn_idx", "section", "label", "value", "unit").unionByName(more_numbers)
 
 
-def ask(spark: SparkSession, path: str, question: str, complete=None) -> DataFrame:
-    """An answer for every document at the path."""
+def ask(spark: SparkSession, path: str, question: str, complete=None, models: str | None = None) -> DataFrame:
+    """An answer for every document at the path; `models` is a folder that may hold embedder and reranker files."""
     documents, sections, numbers = load(spark, path)
     sections = sections.cache()
     questions = documents.select(F.xxhash64("doc_id").alias("qid"), "doc_id", F.lit(question).alias("question"))
-    out = answer_questions(questions, documents, sections, numbers, complete)
+    embed = embedders.onnx_embedder(*embedders.model_files(models, "embedder")) if models and embedders.model_present(models, "embedder") else None
+    score = embedders.onnx_scorer(*embedders.model_files(models, "reranker")) if models and embedders.model_present(models, "reranker") else None
+    out = answer_questions(questions, documents, sections, numbers, complete, embed=embed, score=score)
     names = questions.select(F.col("qid").alias("q_"), "doc_id")
     return out.join(names, F.expr("qid = q_")).select("doc_id", "answer", "citations", "layer_used", "tokens_used", "confidence")
 
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             c.add_argument(a)
         if name == "query":
             c.add_argument("--no-llm", action="store_true")
-            for a in ("--llm-url", "--llm-model", "--llm-key"):
+            for a in ("--llm-url", "--llm-model", "--llm-key", "--models"):
                 c.add_argument(a)
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("foliospark").getOrCreate()
@@ -80,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"{r.title} ({r.format}, version {r.version}): {r.n_sections} sections, {r.n_key_numbers} key numbers. {r.summary}")
             return 0
         complete = None if a.no_llm else providers.from_settings(a.llm_url, a.llm_model, a.llm_key)
-        for r in ask(spark, a.path, a.question, complete).toLocalIterator():
+        for r in ask(spark, a.path, a.question, complete, a.models).toLocalIterator():
             print(f"{r.doc_id}: {r.answer}\n[Layer {r.layer_used}, {r.tokens_used} tokens, confidence {r.confidence:.2f}] {' '.join(r.citations)}")
         return 0
     except FolioError as e:

@@ -67,22 +67,26 @@ def quantizer(mode: str):
     if mode not in MODES:
         raise QuantizationError(f"unknown mode {mode}; there are {', '.join(MODES)}")
 
-    def one(v) -> bytes | None:
-        if v is None:
-            return None
-        x = np.asarray(v, np.float32)
+    def rows(x):
+        """Codes of vectors of one length, a row each."""
         if mode == "float32":
-            return x.astype("<f4").tobytes()
+            return x.astype("<f4")
         if mode == "float16":
-            return x.astype("<f2").tobytes()
+            return x.astype("<f2")
         if mode == "binary":
-            return np.packbits(x > 0).tobytes()
-        scale = np.float32(127) / (np.abs(x).max(initial=np.float32(0)) + np.float32(1e-8))
-        return np.clip(x * scale, np.float32(-127), np.float32(127)).astype(np.int8).tobytes()
+            return np.packbits(x > 0, axis=1)
+        scale = np.float32(127) / (np.abs(x).max(axis=1, initial=np.float32(0), keepdims=True) + np.float32(1e-8))
+        return np.clip(x * scale, np.float32(-127), np.float32(127)).astype(np.int8)
 
     @F.pandas_udf("binary")
     def quantize(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        sizes = s.map(lambda v: -1 if v is None else len(v))
+        for n in sizes[sizes >= 0].unique():  # vectors of one length are one array
+            own = s[sizes == n]
+            codes = rows(np.array(own.tolist(), np.float32).reshape(len(own), n))
+            out[own.index] = pd.Series([c.tobytes() for c in codes], index=own.index, dtype=object)
+        return out
 
     return quantize
 
