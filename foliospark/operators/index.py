@@ -11,10 +11,10 @@ from foliospark.functions.porter import stems
 SIBLING_WEIGHT = 0.8
 
 
-def _tokens(sections: DataFrame, stem=None) -> DataFrame:
+def _tokens(sections: DataFrame, stem=None, *keep: str) -> DataFrame:
     """(doc_id, sec_idx, t0, t1, length): tokens of title and text, and their number; stem: Column -> Column of an array."""
     tokens = lambda c: text.index_tokens(F.col(c)) if stem is None else stem(text.index_tokens(F.col(c)))
-    rows = sections.select("doc_id", "sec_idx", tokens("title").alias("t0"), tokens("text").alias("t1"))
+    rows = sections.select("doc_id", "sec_idx", *keep, tokens("title").alias("t0"), tokens("text").alias("t1"))
     return rows.withColumn("length", F.size("t0") + F.size("t1"))
 
 

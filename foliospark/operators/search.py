@@ -90,7 +90,9 @@ def bm25_within(sections: DataFrame, questions: DataFrame, stem=stems) -> DataFr
     Everything after that join is by document, so it moves nothing more.
     """
     asked = _units(questions, stem).select("qid", F.col("doc_id").alias("d_"), "units")
-    rows = _tokens(sections, stem).join(asked, F.expr("doc_id = d_"))
+    # texts move, if a side is too large to be broadcast: their tokens would take more room
+    met = sections.select("doc_id", "sec_idx", "title", "text").join(asked, F.expr("doc_id = d_"))
+    rows = _tokens(met, stem, "qid", "units")
     # places where all words of the unit follow each other
     count = lambda t, u: F.when(F.size(t) < F.size(u), 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - F.size(u) + 1, F.lit(1))), lambda i: F.slice(t, i, F.size(u)) == u)))
     single = lambda t, u: F.size(F.filter(t, lambda x: x == u[0]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.operators.key_numbers import key_numbers
 from foliospark.operators.keywords import keywords
 from foliospark.operators.tree import build_tree, children, fit_tables
+from foliospark.shared import shared_path
 from foliospark.sources.registry import ParserRegistry, raw_sections, read_files
 
 
@@ -43,8 +44,14 @@ def document_key_numbers(sections: DataFrame, limit: int = 64, present: DataFram
 
 
 def process(sections: DataFrame, present: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections, key numbers) of raw sections; `present` has the key numbers of documents that come with some."""
+    """(sections, key numbers) of raw sections; `present` has the key numbers of documents that come with some.
+
+    The sections are written to the shared folder once, as files are not parsed again for everything that is read of them.
+    """
     done = enrich(normalise(sections))
+    path = shared_path(sections.sparkSession, "sections")
+    done.write.parquet(path)
+    done = sections.sparkSession.read.schema(done.schema).parquet(path)
     return done, document_key_numbers(done, present=present)
 
 
