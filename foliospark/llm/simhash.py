@@ -184,9 +184,15 @@ def units(prints: DataFrame, part: int = PART) -> DataFrame:
     cells = cells.withColumn("first", F.expr(f"CAST((upto - n) div {part} AS int)")).withColumn("last", F.expr(f"CAST((upto - 1) div {part} AS int)"))
     near = by.orderBy("pop").rangeBetween(-RADIUS, RADIUS)
     cells = cells.withColumn("from", F.min("first").over(near)).withColumn("to", F.max("last").over(near))
-    # a row for each block value, 4 * 2**13 + 2**12 = 36,864 at most, each with 65 population counts at most, whatever the input
-    parts = cells.groupBy("block", "value").agg(F.map_from_entries(F.collect_list(F.struct("pop", F.struct("first", "last", "from", "to")))).alias("cells"))
-    dealt = rows.join(F.broadcast(parts), ["block", "value"]).withColumn("c", F.element_at("cells", F.col("pop"))).select("fp", "block", "value", "c.*")
+    # a row for each block value, 4 * 2**13 + 2**12 = 36,864 at most whatever the input; buckets of more than one part have
+    # four arrays of 65 integers besides, about 1 KB
+    names = ["first", "last", "from", "to"]
+    table = F.map_from_entries(F.collect_list(F.struct("pop", F.struct(*names))))
+    parts = cells.groupBy("block", "value").agg(F.when(F.max("total") > part, table).alias("m"))
+    by_pop = lambda c: F.when(F.col("m").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(64)), lambda p: F.try_element_at("m", p)[c])).alias(c)
+    parts = parts.select("block", "value", *[by_pop(c) for c in names])
+    one = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.get(c, F.col("pop"))).alias(c)
+    dealt = rows.join(F.broadcast(parts), ["block", "value"]).select("fp", "block", "value", *[one(c) for c in names])
     dealt = dealt.withColumn("part", F.expr("CAST(first + pmod(xxhash64(fp), last - first + 1) AS int)"))
     return dealt.withColumn("other", F.expr("explode(sequence(from, to))")).select("block", "value", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
 
