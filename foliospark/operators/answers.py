@@ -1,4 +1,8 @@
-"""Layered answers: what can be said without a language model first, prompts for what can't."""
+"""Layered answers: what can be said without a language model first, prompts for what can't.
+
+Joins are by question or document, whose tables may all be large, and Spark guesses them from the sizes of compressed files
+as far too small. So they are hinted as merge joins; none is broadcast through the driver.
+"""
 
 from __future__ import annotations
 
@@ -46,13 +50,14 @@ def enumeration_hint(question: Column) -> Column:
 
 def best_sentences(body: Column, question: Column, n: int = 2) -> Column:
     """The n sentences over 15 characters with most of the question's tokens, in text order; empty without any match."""
-    asked = text.content_tokens(question)
     sentences = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 15)
-    score = lambda s: F.size(F.filter(text.alnum_tokens(s), lambda w: F.array_contains(asked, w)))
-    order = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s)).alias("o"), i.alias("i"), s.alias("s"))))
+    score = lambda s, asked: F.size(F.filter(text.alnum_tokens(s), lambda w: F.array_contains(asked, w)))
+    order = lambda asked: F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s, asked)).alias("o"), i.alias("i"), s.alias("s"))))
     pick = lambda o: F.array_join(F.transform(F.array_sort(F.transform(F.slice(o, 1, n), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"]), " ")
     none = lambda o: (F.size(o) == 0) | (F.coalesce(F.get(o, F.lit(0))["o"], F.lit(0)) == 0)
-    return F.element_at(F.transform(F.array(order), lambda o: F.when(none(o), F.lit("")).otherwise(pick(o))), 1)
+    # arrays of one element hold what is used more than once: the question's tokens are not found again for every word
+    ordered = F.transform(F.array(text.content_tokens(question)), order)
+    return F.element_at(F.transform(ordered, lambda o: F.when(none(o), F.lit("")).otherwise(pick(o))), 1)
 
 
 def match_key_numbers(questions: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -63,10 +68,12 @@ def match_key_numbers(questions: DataFrame, numbers: DataFrame) -> DataFrame:
     """
     fillers, soft = text.strings(words.QUESTION_FILLERS), text.strings(words.SOFT_WORDS)
     plain = F.filter(text.singular_tokens(F.col("label")), lambda w: ~F.array_contains(fillers, w))
-    core = F.filter(plain, lambda w: ~F.array_contains(soft, w))
-    labelled = numbers.withColumn("core", F.when(F.size(core) > 0, core).otherwise(plain)).filter(F.size("core") > 0)
+    hard = F.transform(F.array(plain), lambda p: F.struct(p.alias("p"), F.filter(p, lambda w: ~F.array_contains(soft, w)).alias("c")))
+    # null without any token, which no question matches: a filter on the size would find the tokens once more
+    core = F.element_at(F.transform(hard, lambda x: F.when(F.size(x["c"]) > 0, x["c"]).when(F.size(x["p"]) > 0, x["p"])), 1)
+    labelled = numbers.withColumn("core", core)
     asked = questions.select("qid", F.col("doc_id").alias("d_"), text.singular_tokens(F.lower(F.col("question"))).alias("tokens"))
-    both = labelled.join(asked, F.expr("doc_id = d_")).filter(F.forall("core", lambda w: F.array_contains(F.col("tokens"), w)))
+    both = labelled.join(asked.hint("merge"), F.expr("doc_id = d_")).filter(F.forall("core", lambda w: F.array_contains(F.col("tokens"), w)))
     top = F.rank().over(W.partitionBy("qid").orderBy(F.size("core").desc()))
     best = both.withColumn("r", top).filter("r = 1").groupBy("qid")
     one = best.agg(F.min("value").alias("a"), F.max("value").alias("b"), F.min(F.struct("kn_idx", "label", "value", "unit", "section")).alias("m"))
@@ -81,10 +88,10 @@ def layer0(questions: DataFrame, documents: DataFrame, numbers: DataFrame) -> Da
     """
     q = F.trim(F.lower(F.col("question")))
     docs = documents.select(F.col("doc_id").alias("d_"), "summary", "insights")
-    rows = questions.join(docs, F.expr("doc_id = d_"), "left").drop("d_")
+    rows = questions.join(docs.hint("merge"), F.expr("doc_id = d_"), "left").drop("d_")
     matched = match_key_numbers(questions.filter(~is_complex(F.col("question"))), numbers)
     shown = F.concat(F.col("label"), F.lit(": "), F.col("value"), F.when(F.coalesce(F.col("unit"), F.lit("")) != "", F.concat(F.lit(" "), F.col("unit"))).otherwise(F.lit("")), F.lit(" (source: "), F.col("section"), F.lit(")"))
-    rows = rows.join(matched.select(F.col("qid").alias("q_"), shown.alias("number")), F.expr("qid = q_"), "left")
+    rows = rows.join(matched.select(F.col("qid").alias("q_"), shown.alias("number")).hint("merge"), F.expr("qid = q_"), "left")
     bullets = F.array_join(F.transform("insights", lambda i: F.concat(F.lit("• "), i)), "\n")
     answer = (
         F.when(text.contains_any(q, words.SUMMARY_MARKERS), F.when(F.col("summary") != "", F.col("summary")))
@@ -113,7 +120,7 @@ def prompts(hits: DataFrame, whole: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "id", part(MULTI_CHARS).alias("short"), part(FALLBACK_CHARS).alias("long")))).alias("h"),
         F.min_by(section_body(F.col("text"), F.col("tables")), "rank").alias("body"), F.min_by("id", "rank").alias("top"), F.min_by("confidence", "rank").alias("confidence"), F.count("*").alias("n_hits"),
     ).withColumnRenamed("qid", "q_")
-    rows = whole.join(listed, F.expr("qid = q_"), "left")
+    rows = whole.join(listed.hint("merge"), F.expr("qid = q_"), "left")
     question = F.concat(F.lit("\n\nQuestion: "), F.col("question"))
     joined = lambda n, field: F.array_join(F.transform(F.slice("h", 1, n), lambda x: x[field]), "\n\n")
     ids = lambda n: F.transform(F.slice("h", 1, n), lambda x: x["id"])
@@ -149,7 +156,7 @@ def answer(questions: DataFrame, documents: DataFrame, numbers: DataFrame, hits:
     zero = layer0(questions, documents, numbers).select(F.col("qid").alias("z_"), F.col("answer").alias("a0"))
     one = layer1(hits).select(F.col("qid").alias("o_"), F.col("answer").alias("a1"), F.col("citations").alias("c1"), F.col("confidence").alias("f1"))
     # every question once, with what layers 0 and 1 say of it
-    rows = questions.join(zero, F.expr("qid = z_"), "left").join(one, F.expr("qid = o_"), "left")
+    rows = questions.join(zero.hint("merge"), F.expr("qid = z_"), "left").join(one.hint("merge"), F.expr("qid = o_"), "left")
     by0, by1 = F.col("a0").isNotNull(), F.col("a1").isNotNull()
     told = rows.select(
         "qid", F.coalesce("a0", "a1", F.lit("")).alias("answer"), F.when(by0, none).when(by1, F.col("c1")).otherwise(none).alias("citations"),
@@ -164,7 +171,7 @@ def answer(questions: DataFrame, documents: DataFrame, numbers: DataFrame, hits:
     done, left = told.filter("layer_used >= 0").drop("question"), told.filter("layer_used < 0").select("qid", "question")
     if whole is None:
         whole = left.select("qid", "question", F.lit("").alias("full_text"))
-    asked = prompts(hits, whole.join(left.select(F.col("qid").alias("q_")), F.expr("qid = q_"), "left_semi"))
+    asked = prompts(hits, whole.join(left.select(F.col("qid").alias("q_")).hint("merge"), F.expr("qid = q_"), "left_semi"))
     return done.unionByName(asked.mapInPandas(_ask(complete), done.schema))
 
 

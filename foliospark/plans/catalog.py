@@ -228,7 +228,7 @@ def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _part_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus.figure_lines(spark, sf_dir).select(F.col("doc_id").alias("d_"), "text")
     none = F.array().cast("array<string>")
-    rows = _part_questions(spark, sf_dir).join(lines, F.expr("doc_id = d_"))
+    rows = _part_questions(spark, sf_dir).join(lines.hint("merge"), F.expr("doc_id = d_"))
     tables = F.array().cast("array<struct<table_id:string,caption:string,headers:array<string>,rows:array<array<string>>>>")
     return rows.select("qid", "question", F.lit(0).alias("rank"), F.lit("§1").alias("id"), F.lit("").alias("title"), "text", F.lit(None).cast("string").alias("summary"), tables.alias("tables"), answers.confidence(F.col("question"), F.lit(""), none, F.col("text")).alias("confidence"))
 
@@ -246,7 +246,7 @@ def layered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hits = _part_hits(spark, sf_dir)
     brand = corpus.table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("d_"), "p_brand")
-    second = hits.join(brand, F.expr("qid = d_")).withColumn("rank", F.lit(1)).withColumn("id", F.lit("§2")).withColumn("title", F.lit("More")).withColumn("text", F.concat(F.lit("of "), "p_brand")).drop("d_", "p_brand")
+    second = hits.join(brand.hint("merge"), F.expr("qid = d_")).withColumn("rank", F.lit(1)).withColumn("id", F.lit("§2")).withColumn("title", F.lit("More")).withColumn("text", F.concat(F.lit("of "), "p_brand")).drop("d_", "p_brand")
     out = answers.answer(_part_questions(spark, sf_dir), _part_documents(spark, sf_dir), _part_numbers(spark, sf_dir), hits.unionByName(second), complete)
     return out.select("qid", "answer", F.array_join("citations", " ").alias("citations"), "layer_used", "tokens_used", F.round("confidence", 6).alias("confidence"))
 

@@ -299,6 +299,12 @@ def test_key_number_match(spark):
     assert got == {1: "12 ms", 3: "24"}
 
 
+def test_labels_without_a_token_match_nothing(spark):
+    numbers = spark.createDataFrame([("d", 0, "§1", label, "5", None) for label in ("the of", "—", "", None)] + [("e", 0, "§1", "total", "7", None)], NUMBERS)
+    asked = spark.createDataFrame([(1, "d", "what is the total of it"), (2, "e", "what is the total of it"), (3, "d", None)], ASKED)
+    assert {r.qid: r.value for r in answers.match_key_numbers(asked, numbers).collect()} == {2: "7"}
+
+
 def test_sentences_and_confidence(spark):
     body = "The company was founded long ago. Revenue grew by ten percent in 2023. Short. Costs were flat across regions."
     best = lambda q: value(spark, answers.best_sentences(F.col("b"), F.col("q")), b=body, q=q)

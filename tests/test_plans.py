@@ -65,3 +65,9 @@ def test_filters_reach_the_scan(spark):
 
 def test_a_tree_is_shuffled_once(spark):
     assert plan(catalog.QUERIES["section_tree"](spark, DATA)).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["key_number_match", "layer_route", "layered_answers"])
+def test_answers_send_no_table_through_the_driver(spark, name):
+    """Questions, documents and hits grow together, and their files' sizes say little of their texts: no join broadcasts them."""
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, DATA))
